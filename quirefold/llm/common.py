@@ -48,7 +48,7 @@ def shuffle_width(spark: SparkSession) -> int:
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, remembered between batches up to a bound."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
