@@ -41,6 +41,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Lowers what Spark hands to Python at a time to ``rows`` rows and ``size`` bytes: whole texts may be long.
+
+    Only ever lowers the session's settings, and changes no result.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        least = int(now) if now and now.isdigit() else 0
+        if not 0 < least <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,7 +60,7 @@ def shuffle_width(spark: SparkSession) -> int:
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, remembered between batches up to a bound."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import bound_batches
+
 CELLS = 1 << 14
 #: Rows for each language that the models are fitted on: at most this many, those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 400
@@ -158,6 +160,7 @@ def identify_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     ``""``); the models learn from the others that have a language, and predict from the text alone. A null text, one without a letter,
     or nothing to learn from give ``und`` with score 0. Repeated rows each come back.
     """
+    bound_batches(docs.sparkSession)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     rows = docs.select("doc_id", "text", "lang")
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.where(~held), per_language))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quirefold.llm.common import bound_batches
+
 WINDOW = 2048
 #: Tokens that a task holds at a time.
 GROUP_TOKENS = 1 << 21
@@ -77,7 +79,7 @@ class WordEncoder(dict):
     holds for ``word_bpe_49k``: its normaliser, its added tokens and its splitting rule never look across white space.
     """
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
     CUT = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
     def __init__(self, path: str) -> None:
@@ -153,6 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
     A repeated row is packed as often as it stands there. Sequences hold ``window`` ids, or, at the end of a task, a power of
     two, so nothing is padded. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import kth_largest, materialise
+from quirefold.llm.common import bound_batches, kth_largest, materialise
 
 CELLS = 1 << 15
 SMOOTHING = 0.5
@@ -29,7 +29,7 @@ TOKEN = re.compile(rb"[a-z0-9_\x80-\xff]+|[^a-z0-9_\x80-\xff]+")
 class Tokens(dict):
     """A word's tokens (runs of letters and digits, runs of other signs) as hashes, remembered up to a bound."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> list[int]:
         out = [zlib.crc32(t) for t in TOKEN.findall(word)]
@@ -142,6 +142,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep: tup
     key at the edge are selected together, so repeated rows share one fate. A null or wordless text weighs 0; a null
     doc_id has the noise of the null value. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     rows = marked(docs, labels, keep)
     ratios = log_ratios(ngram_counts(rows))
     columns = ("doc_id", *keep, "quality")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import connected_components, materialise, shuffle_width
+from quirefold.llm.common import bound_batches, connected_components, materialise, shuffle_width
 
 BITS = 64
 #: Index rows of one bucket that one task takes; larger buckets are cut into blocks that meet pairwise.
@@ -320,6 +320,7 @@ def simhash_components(docs: DataFrame, words: int = 3, max_distance: int = 3, k
     has none. Equal fingerprints always link. Null, empty and blank texts have fingerprint 0 and link
     like any other. An empty table gives no rows. Repeated rows each come back.
     """
+    bound_batches(docs.sparkSession)
     rows = materialise(with_fingerprint(docs.select(*keys, *(["doc_id"] if "doc_id" not in keys else []), "text"), words), "fingerprints")
     each = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     n, both = bit_counts(each)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import fresh_path, materialise, shuffle_width
+from quirefold.llm.common import bound_batches, fresh_path, materialise, shuffle_width
 
 #: Payloads from this many bytes on are stored once.
 LEAST_SHARED = 1000
@@ -90,6 +90,7 @@ def write_archives(pages: DataFrame, folder: str, least_shared: int = LEAST_SHAR
     payload each hold it. Where all of them have a null page_id, all hold it.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
