@@ -10,10 +10,11 @@ depends on another.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,31 +74,87 @@ def minimum_slack(lengths: list[int], window: int) -> list[list[int]]:
 
 
 class WordEncoder(dict):
-    """Ids of a text by a tokenizer that cuts at white space, word by word; words are remembered up to a bound.
+    """Ids of texts by a tokenizer that cuts at white space: each word is encoded once and remembered, up to a bound.
 
-    Only for tokenizers whose ids of a text are those of its words at ASCII white space, one after another, as
-    holds for ``word_bpe_49k``: its normaliser, its added tokens and its splitting rule never look across white space.
+    Only for tokenizers whose ids of a text are those of its words at ASCII white space, one after another, whatever the case of
+    A-Z, as holds for ``word_bpe_49k``: its normaliser, its added tokens and its splitting rule never look across white space, and
+    it lower-cases all but its added tokens, whose texts contain ``<|``.
     """
 
-    LIMIT = 1 << 17
-    CUT = re.compile(r"[ \t\n\r\x0b\x0c]+")
+    LIMIT = 1 << 20
+    #: Stands for the end of a document; no word holds a space.
+    END = b" "
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> np.ndarray:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4")
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words = self.CUT.split(text or "")
-        return np.concatenate([*map(self.__getitem__, words), np.array([END_ID], dtype="<u4")])
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self[self.END] = 0
+        self.waiting: list[bytes] = []
+        self.flat, self.used = np.array([END_ID], dtype="<u4"), 1
+        self.start, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        self.waiting.append(word)
+        return code
+
+    def encode_waiting(self) -> None:
+        """Ids of the words met since, in one call but for those that could hold an added token."""
+        words = [w.decode("utf-8", "replace") for w in self.waiting]
+        plain = [i for i, w in enumerate(words) if "<|" not in w]
+        found: list[np.ndarray] = [np.empty(0, dtype="<u4")] * len(words)
+        if plain:
+            found_ids = self.tokenizer.encode(" ".join(words[i] for i in plain), add_special_tokens=False)
+            ids, at = np.array(found_ids.ids, dtype="<u4"), np.array([x for x, _ in found_ids.offsets], dtype=np.int64)
+            stop = np.cumsum([len(words[i]) + 1 for i in plain])
+            cut = np.searchsorted(at, stop)
+            for i, s, e in zip(plain, np.r_[0, cut[:-1]].tolist(), cut.tolist(), strict=True):
+                found[i] = ids[s:e]
+        for i, w in enumerate(words):
+            if "<|" in w:
+                found[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4")
+        new = np.concatenate(found)
+        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + len(new) + len(self), dtype="<u4")])
+        self.flat[self.used : self.used + len(new)] = new
+        self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.used += len(new)
+        self.waiting = []
+
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
+        if len(self) > self.LIMIT:
+            self.forget()
+        out = []
+        for at in range(0, len(texts), 64):
+            codes = []
+            for text in texts[at : at + 64]:
+                raw = text or b""
+                words = (raw if b"<|" in raw else raw.lower()).split()
+                words.append(self.END)
+                codes.append(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
+            if self.waiting:
+                self.encode_waiting()
+            for c in codes:
+                length = self.length[c]
+                stop = np.cumsum(length)
+                out.append(self.flat[np.repeat(self.start[c] - (stop - length), length) + np.arange(stop[-1])])
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder a process, so that tasks that follow one another share its words."""
+    return WordEncoder(path)
 
 
 def pack_group(docs: list[tuple[object, np.ndarray]], window: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
@@ -162,7 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if tokenizer_path is None:
             import public_tokenizers
 
-        encode = WordEncoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encode = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
         held: list[tuple[object, np.ndarray, int, int]] = []  # doc_id, ids, where they start, the document's number of ids
@@ -189,8 +246,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         doc_type = pa.int64()
         for b in batches:
             doc_type = b.schema.field("doc_id").type
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode.ids(text)
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode.ids(b.column("text").cast(pa.binary()).to_pylist()), strict=True):
                 held.append((doc, ids, 0, len(ids)))
                 size += len(ids)
                 if size >= group_tokens:
