@@ -72,7 +72,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         mask = F.coalesce(*(F.when(F.col("seg") == i, masks[w]) for i, w in enumerate(widths)))
         probes = probes.select("q", "bound", "seg", F.explode(mask).alias("m"), "own").select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("m")).alias("value"))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        hits = probes.join(stored, ["seg", "value"]).where(distance <= F.col("bound")).select("q", distance.alias("distance"), "ids").distinct()
+        # Not by broadcast, whatever the files' sizes promise: the probes are many more rows than what they come from.
+        hits = probes.hint("merge").join(stored, ["seg", "value"]).where(distance <= F.col("bound")).select("q", distance.alias("distance"), "ids").distinct()
         hits = hits.select("q", "distance", F.explode("ids").alias("vec_id"))
         if best is not None:
             hits = hits.unionByName(best.join(active.select("q"), "q", "left_semi")).distinct()
