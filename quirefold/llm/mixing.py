@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import SPACE, materialise, word_count
 
 #: Expected rows of one range of keys.
-RANGE_ROWS = 1 << 15
+RANGE_ROWS = 1 << 12
 #: Sources up to this many are broadcast; a longer list is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
