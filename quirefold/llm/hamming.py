@@ -10,7 +10,7 @@ that can still enter the answer come out of it.
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +33,8 @@ def sign_codes(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 
 def segment_widths(n: int) -> list[int]:
-    """Widths of the segments for n codes: 2 to 16 segments of about log2(n) bits."""
-    m = min(16, max(2, round(BITS / max(1.0, log2(max(n, 2))))))
+    """Widths of the segments for n codes: 2 to 16 segments of log2(n) bits or fewer."""
+    m = min(16, max(2, ceil(BITS / max(1.0, log2(max(n, 2))))))
     return [BITS // m + (i < BITS % m) for i in range(m)]
 
 
