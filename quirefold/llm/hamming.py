@@ -15,7 +15,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialise
+from quirefold.llm.common import materialise, shuffle_width
 
 BITS = 64
 
@@ -51,6 +51,21 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
 
 
+def answered(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, distance, vec_id: each query with what was found for its code.
+
+    A code that many queries have is dealt to several tasks, in proportion to its share of the queries; the few rows found for it go to each.
+    """
+    width = 4 * shuffle_width(asked.sparkSession)
+    parts = asked.groupBy(F.col("code").alias("q")).agg(F.count("*").alias("n"))
+    parts = parts.select("q", F.ceil(F.col("n") * width / F.lit(max(asked.count(), 1))).cast("long").alias("parts"))
+    dealt = asked.select(F.col("id").alias("query_id"), F.col("code").alias("q"), F.pmod(F.xxhash64("id"), F.lit(width)).alias("turn"))
+    copies = found.join(parts, "q").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    busy = parts.where("parts > 1").select(F.col("q").alias("b"), F.col("parts").alias("of"))  # at most as many as ``width``
+    dealt = dealt.join(F.broadcast(busy), F.col("q") == F.col("b"), "left").withColumn("turn", F.pmod("turn", F.coalesce("of", F.lit(1)).cast("long"))).select("query_id", "q", "turn")
+    return dealt.join(copies, ["q", "turn"]).select("query_id", "distance", "vec_id")
+
+
 def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, distance: each query's k nearest rows but its own, by Hamming distance, ties to the smaller id. Exact.
 
@@ -90,6 +105,6 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    out = asked.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(found, "q").where(F.col("vec_id") != F.col("query_id"))
+    out = answered(asked, found).where(F.col("vec_id") != F.col("query_id"))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "distance")
