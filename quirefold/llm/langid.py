@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +102,14 @@ def fit(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
             )
 
     known = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    # A hash lies below twice the share that is asked for with about twice as many rows: only those are ranked, however common a language is.
+    share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(2.0 * per_language / r["count"])) for r in names)) if names else F.lit(None)
+    at = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
+    near = known.where(at < share[F.col("lang")]) if names else known
     # The ids are ranked without their texts; the texts of those chosen are then found by a join.
-    ranked = known.select("doc_id", "lang", F.xxhash64("text").alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")))
+    ranked = near.select("doc_id", "lang", F.xxhash64("text").alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")))
     chosen = ranked.where(F.col("r") <= per_language)
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    chosen = chosen.where(F.col("lang").isin(names))
     ids = chosen.select(F.col("doc_id").alias("__d"), F.col("lang").alias("__l"), F.col("t").alias("__t"))
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("__d")) & (F.col("lang") == F.col("__l")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
     found = rows.select("lang", "text").mapInArrow(count, "lang string, cells array<long>, counts array<long>").toPandas()
