@@ -66,3 +66,18 @@ def rank_services(services: DataFrame, needs: list[str], boosts: list[str]) -> D
     met = lambda names: F.size(F.array_intersect("picks", F.array(*map(F.lit, names)).cast("array<string>")))
     scored = services.select("id", "rank", met(needs).alias("hits"), met(boosts).alias("boost"))
     return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("boost"), "rank", "id")))
+
+
+def relative_totals(sizes: DataFrame, baseline: str) -> DataFrame:
+    """family, ratio, missing: a family's sizes (family, image, bytes) over the baseline's of all images, and how many are out of range (null)."""
+    whole = sizes.where(F.col("family") == baseline).agg(F.sum("bytes").alias("__whole"))
+    per = sizes.groupBy("family").agg(F.sum("bytes").alias("sum"), F.count_if(F.col("bytes").isNull()).alias("missing"))
+    return per.join(F.broadcast(whole), F.lit(True)).select("family", (F.coalesce("sum", F.lit(0)) / F.col("__whole")).alias("ratio"), "missing")
+
+
+def setting_near(points: DataFrame, wanted: DataFrame, keys: list[str], within: float = 1e-6) -> DataFrame:
+    """wanted (keys, wanted) with the points (keys, setting, ...) whose setting is that, to rounding: an equal join on cells, then the difference."""
+    cell = lambda x: F.floor(x / (2 * within))
+    asked = wanted.withColumn("__cell", F.explode(F.array(cell(F.col("wanted") - within), cell(F.col("wanted") + within)))).distinct()
+    found = points.withColumn("__cell", cell(F.col("setting"))).join(asked, [*keys, "__cell"])
+    return found.where(F.abs(F.col("setting") - F.col("wanted")) < within).drop("__cell").distinct()

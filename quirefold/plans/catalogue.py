@@ -254,7 +254,15 @@ def versions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir, VERSIONS).withColumn("clarity", F.col("clarity").cast("double"))
 
 
-@query()
+HULL = f"""WITH v AS (SELECT deck_id, page, version, bytes, clarity::DOUBLE AS clarity FROM ({VERSIONS}) x WHERE version = 0 OR clarity >= {flatten.CLARITY_FLOOR}),
+    k AS (SELECT * FROM v p WHERE NOT EXISTS (SELECT 1 FROM v q WHERE q.deck_id = p.deck_id AND q.page = p.page AND q.clarity >= p.clarity
+        AND (q.bytes < p.bytes OR q.bytes = p.bytes AND (q.clarity > p.clarity OR q.version < p.version)))),
+    u AS (SELECT DISTINCT p.deck_id, p.page, p.version FROM k p JOIN k a ON a.deck_id = p.deck_id AND a.page = p.page JOIN k c ON c.deck_id = p.deck_id AND c.page = p.page
+        WHERE a.bytes < p.bytes AND c.bytes > p.bytes AND (p.bytes - a.bytes) * (c.clarity - a.clarity) >= (p.clarity - a.clarity) * (c.bytes - a.bytes)),
+    h AS (SELECT deck_id, page, version, bytes FROM k ANTI JOIN u USING (deck_id, page, version))"""
+
+
+@query(HULL + " SELECT deck_id, page, string_agg(version::VARCHAR, ',' ORDER BY bytes DESC) AS hull FROM h GROUP BY 1, 2")
 def o11_usable_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.usable_versions(versions_of(spark, sf_dir)).select("deck_id", "page", F.array_join(F.transform("hull", lambda x: x["version"].cast("string")), ",").alias("hull"))
 

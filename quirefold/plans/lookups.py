@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import containers, scalars, wording
-from quirefold.operators import evaluation, inventory, ladder, measures, placing, split
-from quirefold.plans.catalogue import IMAGES, PAGES, PLACED, PLANS, base, plans_of, query
+from quirefold.operators import evaluation, flatten, inventory, ladder, measures, placing, split
+from quirefold.plans.catalogue import BUDGETS, HULL, IMAGES, PAGES, PLACED, PLANS, POINTS, PREDICTED, VERSIONS, base, plans_of, query, totals_of, versions_of
 from quirefold.streaming import progress
 
 EVENTS = "SELECT event_id, user_id, event_type, value, CAST(floor(abs(value) * 997) AS BIGINT) AS n FROM {events} WHERE value IS NOT NULL"
@@ -268,3 +268,28 @@ def s13_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select(F.to_json(F.struct("deck_id", "page", F.col("page_width").cast("double").alias("page_width"))).alias("line")).withColumn("line", F.explode(F.array("line", F.lit(""))))
     kept = lines.where(F.trim("line") != "")
     return kept.select(F.from_json("line", "deck_id long, page long, page_width double").alias("j")).select("j.*")
+
+
+@query(f"SELECT t.deck_id, rung, round(total, 3) AS total FROM (SELECT deck_id, rung, sum(predicted) AS total FROM {PREDICTED} p GROUP BY 1, 2) t JOIN ({BUDGETS}) b USING (deck_id) WHERE rung = {len(ladder.RUNGS) - 1} OR total <= budget * {ladder.PLAUSIBLE}")
+def p8_plausible_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    budgets = base(spark, sf_dir, BUDGETS).withColumn("budget", F.col("budget").cast("double"))
+    return ladder.plausible_rungs(totals_of(spark, sf_dir), budgets).select("deck_id", "rung", F.round("total", 3).alias("total"))
+
+
+@query(f"SELECT family, round(coalesce(sum(b), 0) / (SELECT sum(CASE WHEN image % 5 > 0 THEN bytes END) FROM ({POINTS}) y WHERE family = 'canvas q')::DOUBLE, 6) AS ratio, count(*) - count(b) AS missing FROM (SELECT family, CASE WHEN image % 5 > 0 THEN bytes END AS b FROM ({POINTS}) x) z GROUP BY 1")
+def a18_relative_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = base(spark, sf_dir, POINTS).withColumn("bytes", F.when(F.col("image") % 5 > 0, F.col("bytes")))
+    return evaluation.relative_totals(p, "canvas q").withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"SELECT image, family, setting, score::DOUBLE AS score FROM ({POINTS}) p WHERE setting = 10 + image % 30")
+def j12_setting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = base(spark, sf_dir, POINTS).withColumn("score", F.col("score").cast("double"))
+    wanted = p.select("image", "family").distinct().withColumn("wanted", F.col("image") % 30 + 10.0000004)
+    return evaluation.setting_near(p, wanted.withColumn("wanted", F.col("wanted").cast("double")), ["image", "family"]).select("image", "family", "setting", "score")
+
+
+@query(f"""{HULL} SELECT x.deck_id, x.page, x.version, CASE WHEN h.version IS NULL THEN 0 ELSE x.bytes END AS bytes, x.clarity::DOUBLE AS clarity, h.version IS NOT NULL AS usable
+    FROM ({VERSIONS}) x LEFT JOIN h USING (deck_id, page, version)""")
+def o13_keep_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatten.keep_usable(versions_of(spark, sf_dir))
