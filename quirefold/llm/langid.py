@@ -86,6 +86,26 @@ def one_versus_one(x: np.ndarray, names: list[str]) -> list[tuple[str, str, np.n
     return out
 
 
+def sample_rows(train: DataFrame, per_language: int) -> DataFrame:
+    """doc_id, text, lang of the rows to fit on: of each of the 64 commonest languages those with the smallest hashes of their id.
+
+    Rows without an id, a language or a letter take no part; repeated rows count once. Fewer rows than asked for
+    come only where repeated rows make up more than half of a language.
+    """
+    known = train.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    # A hash lies below twice the share that is asked for with about twice as many rows: only those are ranked, however common a language is.
+    share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(2.0 * per_language / r["count"])) for r in names)) if names else F.lit(None)
+    at = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
+    near = known.where(at < share[F.col("lang")]) if names else known
+    # The ids are ranked without their texts; the texts of those chosen are then found by a join.
+    ranked = near.select("doc_id", "lang", F.xxhash64("text").alias("t")).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")))
+    chosen = ranked.where(F.col("r") <= per_language)
+    ids = chosen.select(F.col("doc_id").alias("__d"), F.col("lang").alias("__l"), F.col("t").alias("__t"))
+    found = known.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("__d")) & (F.col("lang") == F.col("__l")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
+    return found.dropDuplicates(["doc_id", "text", "lang"])
+
+
 def fit(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Models from rows of ``doc_id, text, lang``: those between families, and those between the languages of each.
 
@@ -101,17 +121,7 @@ def fit(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
                 ["lang", "cells", "counts"],
             )
 
-    known = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    # A hash lies below twice the share that is asked for with about twice as many rows: only those are ranked, however common a language is.
-    share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(2.0 * per_language / r["count"])) for r in names)) if names else F.lit(None)
-    at = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
-    near = known.where(at < share[F.col("lang")]) if names else known
-    # The ids are ranked without their texts; the texts of those chosen are then found by a join.
-    ranked = near.select("doc_id", "lang", F.xxhash64("text").alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")))
-    chosen = ranked.where(F.col("r") <= per_language)
-    ids = chosen.select(F.col("doc_id").alias("__d"), F.col("lang").alias("__l"), F.col("t").alias("__t"))
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("__d")) & (F.col("lang") == F.col("__l")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
+    rows = sample_rows(train, per_language)
     found = rows.select("lang", "text").mapInArrow(count, "lang string, cells array<long>, counts array<long>").toPandas()
     found["cells"], found["counts"] = found["cells"].map(np.asarray), found["counts"].map(np.asarray)
     found["k"] = [(len(c), int(c.sum()), int(n.sum())) for c, n in zip(found["cells"], found["counts"], strict=True)]

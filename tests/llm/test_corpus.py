@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import compare
+from pyspark.sql import functions as F
 
 from quirefold.llm import ann, common, hamming, langid, licences, mixing, packing, passages, resampling, simhash, warc
 from quirefold.llm.queries import ORACLES, QUERIES
@@ -232,6 +233,14 @@ def test_hamming(spark):
     assert hamming.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_common_code_is_answered_whole(spark):
+    asked = [(i, 7 if i % 4 else 100 + i) for i in range(2000)]
+    found = [(7, 0, 1), (7, 0, 2), (7, 3, 900), *((100 + i, 1, i + 1) for i in range(0, 2000, 4))]
+    got = hamming.answered(spark.createDataFrame(asked, "id long, code long"), spark.createDataFrame(found, "q long, distance int, vec_id long"))
+    told = sorted((i, d, v) for i, c in asked for q, d, v in (found[:3] if c == 7 else [(c, 1, i + 1)]))
+    assert sorted(map(tuple, got.collect())) == told
+
+
 def test_packing(spark, words):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -341,6 +350,18 @@ def test_language_id(spark):
     assert langid.identify_languages(odd.limit(0)).count() == 0
 
 
+def test_language_sample_is_that_of_a_plain_ranking(spark):
+    rows = [(i, "some text" if i % 7 else "123", "en" if i % 10 else "fr") for i in range(5000)] + [(None, "no id", "en"), (3, None, "de"), (4, "none", None)]
+    rows += [(5, "some text", "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashes = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64("doc_id")).where("doc_id IS NOT NULL").collect()}
+    told = []
+    for lang in ("en", "fr"):
+        own = sorted({(hashes[i], i) for i, t, n in rows if i is not None and n == lang and t == "some text"})
+        told += [(lang, i) for _, i in own[:40]]
+    assert sorted((r["lang"], r["doc_id"]) for r in langid.sample_rows(df, 40).collect()) == sorted(told)
+
+
 def test_licences(spark):
     text = "Copyright (c) 1999 Some One\n\n" + licences.MIT.upper().replace(", ", ",\n   ") + "\n"
     rows = [(1, text, "c"), (2, "Some prose.\nreleased under the  MIT Licence!\nMore.", "c"), (3, None, "c"), (4, "", "c"), (5, "prose " * 50_000, "c"), (5, "x", "c"), (5, "x", "c")]
