@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm.common import fresh_path
 from quirefold.llm.mixing import mixed_documents
+from quirefold.llm.nearcopies import keep_one
 from quirefold.llm.packing import pack_documents
 from quirefold.llm.passages import cut_passages
 from quirefold.llm.resampling import keep_selected
-from quirefold.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
