@@ -217,6 +217,34 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_nearest_reaches_its_recall_with_any_number_of_hashes(spark, hashes):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(4, 32))[rng.integers(0, 4, 1200)] + 0.7 * rng.normal(size=(1200, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hit = 0
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), hashes=hashes).groupBy("query_id").agg(F.collect_set("vec_id").alias("v")).collect():
+        d = ((x - x[r["query_id"]]) ** 2).sum(axis=1)
+        d[r["query_id"]] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & set(r["v"]))
+    assert hit >= 0.9 * 600
+
+
+def test_nearest_returns_all_that_is_owed(spark):
+    rng = np.random.default_rng(20)
+    for n in (1, 5, 11, 12, 30):
+        x = {i: rng.normal(size=64 if i % 3 else 7) * 10.0 ** rng.integers(-3, 4) for i in range(n)}
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in x.items()], "vec_id long, embedding array<double>, qid int")
+        found = defaultdict(list)
+        for r in ann.nearest(df, df, block=4).orderBy("query_id", "rank").collect():
+            found[r["query_id"]].append((r["vec_id"], r["score"]))
+        for q, v in x.items():
+            told = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in x.items() if i != q and len(w) == len(v))[:10]
+            assert len(found[q]) == len(told)
+            if len(told) < 10:
+                assert found[q] == [(i, s) for s, i in told]
+
+
 def test_hamming(spark):
     rng = random.Random(10)
     codes = [rng.getrandbits(64) for _ in range(300)]
