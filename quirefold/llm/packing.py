@@ -81,16 +81,13 @@ class WordEncoder(dict):
     it lower-cases all but its added tokens, whose texts contain ``<|``.
     """
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 17
     #: Stands for the end of a document; no word holds a space.
     END = b" "
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.forget()
 
     def forget(self) -> None:
@@ -152,9 +149,12 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    """One encoder a process, so that tasks that follow one another share its words."""
-    return WordEncoder(path)
+def tokenizer(path: str) -> object:
+    """One tokenizer a process. The words met are each task's own, so that no worker keeps them when the task has ended."""
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    return Tokenizer.from_file(path)
 
 
 def pack_group(docs: list[tuple[object, np.ndarray]], window: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
@@ -219,7 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if tokenizer_path is None:
             import public_tokenizers
 
-        encode = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encode = WordEncoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
         held: list[tuple[object, np.ndarray, int, int]] = []  # doc_id, ids, where they start, the document's number of ids
