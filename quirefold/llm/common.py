@@ -20,11 +20,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"__{name}"
+        while own in taken:
+            own += "_"
+        taken.add(own)
+        out.append(own)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets a temporary one; a cluster must name its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -129,22 +143,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return step.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
 
 
-def kth_largest(keys: DataFrame, key: str, k: int, bits: int = 48, digit: int = 12) -> int | None:
-    """The k-th largest of a column of longs in [0, 2**bits), by histograms of at most 2**digit cells.
+def kth_largest(keys: DataFrame, columns: list[str], k: int, bits: int = 60, digit: int = 12) -> list[int] | None:
+    """The k-th largest of tuples of longs in [0, 2**bits), ordered by the columns in turn, by histograms of at most 2**digit cells.
 
-    A fixed number of small jobs, whatever the size of the table: neither a global sort nor one task that
-    sees all rows. None if there are fewer than k rows.
+    Small jobs whose number the bits bound, whatever the size of the table: neither a global sort nor one task that
+    sees all rows. The answer splits the rows like the k-th largest does: k rows are no smaller, if no two rows are equal. None if there are fewer than k rows.
     """
-    low, left = 0, k
-    rows = keys.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
-    for shift in range(bits - digit, -1, -digit):
-        width = 1 << (shift + digit)
-        cells = rows.where((F.col("k") >= low) & (F.col("k") < low + width)).groupBy(F.shiftright("k", shift).alias("c")).count().collect()
-        for c, n in sorted(((r["c"], r["count"]) for r in cells), reverse=True):
-            if n >= left:
-                low = c << shift
-                break
-            left -= n
-        else:
-            return None
+    rows, low, left = keys, [], k
+    for n, column in enumerate(columns):
+        least, shift = 0, bits
+        while shift:
+            shift -= digit
+            cells = rows.groupBy(F.shiftright(column, shift).alias("c")).count().collect()
+            for c, count in sorted(((r["c"], r["count"]) for r in cells), reverse=True):
+                if count >= left:
+                    least = c << shift
+                    break
+                left -= count
+            else:
+                return None
+            if count == left:  # all of the cell and above
+                return [*low, least] + [0] * (len(columns) - n - 1)
+            rows = rows.where((F.col(column) >= least) & (F.col(column) < least + (1 << shift)))
+        low.append(least)
     return low
+
+
+def no_smaller(columns: list[str], edge: list[int]) -> Column:
+    """Whether the columns, in turn, are no smaller than the edge."""
+    out = F.lit(True)
+    for c, e in reversed(list(zip(columns, edge, strict=True))):
+        out = (F.col(c) > e) | ((F.col(c) == e) & out)
+    return out

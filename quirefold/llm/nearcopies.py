@@ -1,8 +1,9 @@
-"""Near copies by min-hash bands and exact similarity: five-word runs, Jaccard 0.8.
+"""Near copies by SimHash and min-hash candidates and exact similarity: five-word runs, Jaccard 0.8.
 
-Each text leaves the least of its runs under many hash functions, taken seven at a time; texts that share all of one such band are
-candidates. In each band's group a leader is compared with all others on the texts; those alike leave the group with it, and the
-rest meet again under twice as many leaders, until nothing is left. No pair is linked unchecked.
+Candidates come from two searches. Fingerprints of the runs within three bits are found by the general pigeonhole of ``simhash``; three of 64 bits
+reach similarities of some 0.95. For those from 0.8 on each text also leaves the least of its runs under many hash functions, taken seven at a time;
+texts that share all of one such band meet in a group. One byte of each least run estimates the similarity within a group: a flood joins those surely alike, and each other row names the two rows outside its own
+flood that it looks most like. So a group of n texts hands on 3n pairs at most. Every pair is then compared on the texts; none is linked unchecked.
 """
 
 from __future__ import annotations
@@ -11,15 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordHashes, bound_batches, connected_components, materialise, mix, shingle_hashes
+from quirefold.llm import simhash
+from quirefold.llm.common import WordHashes, bound_batches, connected_components, free_names, materialise, mix, shingle_hashes, shuffle_width
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares one of 24 bands of seven with a chance of 0.996, one of 0.9 all but surely.
 BANDS, WIDTH = 24, 7
+#: Estimates (their standard error is 0.03) so far above or below the similarity join two texts in a flood, or rule them out.
+SURE, AT_LEAST = 0.06, 0.09
+#: Bits within which fingerprints are compared.
+BITS_APART = 3
+#: Rows of one group that one task takes; larger groups are cut into blocks that meet pairwise.
+BLOCK = 1 << 13
 
 
 def run_hashes(text: bytes | None, words: WordHashes) -> np.ndarray:
@@ -28,84 +36,182 @@ def run_hashes(text: bytes | None, words: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(found, min(SHINGLE, max(1, len(found)))))
 
 
-def bands(runs: np.ndarray) -> np.ndarray:
-    if not len(runs):
-        return np.arange(BANDS, dtype=np.uint64)
-    odd = mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+ODD = mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def least_runs(runs: np.ndarray) -> np.ndarray:
+    """The least of the runs under each hash function."""
     least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(runs), 1 << 10):  # bounds the matrix, whatever the text
-        least = np.minimum(least, (odd[:, None] * runs[None, at : at + (1 << 10)]).min(axis=1))
+        least = np.minimum(least, (ODD[:, None] * runs[None, at : at + (1 << 10)]).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for x in least.reshape(BANDS, WIDTH).T:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + x)
     return key
 
 
-def band_rows(texts: DataFrame) -> DataFrame:
+def majority(runs: np.ndarray) -> int:
+    """A bit is 1 if over half of the runs have it."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(runs), 1 << 16):
+        total += np.unpackbits(runs[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(runs), bitorder="little").view("<u8")[0])
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """node, fp, keys (of its bands), sketch (a byte of each least run) of rows of node, text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            keys = [bands(run_hashes(t, words)) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            if keys:
-                nodes = np.repeat(b.column("node").to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], ["key", "node"])
+            fps, keys, sketches = [], [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                runs = run_hashes(t, words)
+                least = least_runs(runs)
+                fps.append(majority(runs))
+                keys.append(bands(least).view(np.int64))
+                sketches.append((mix(least) & np.uint64(255)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "fp", "keys", "sketch"]
+            )
+
+    return texts.mapInArrow(run, "node long, fp long, keys array<long>, sketch binary")
+
+
+def group_pairs(sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows of one group to compare: a flood over sure ones, and for each row outside the largest flood the two likeliest of the others."""
+    n, pairs = len(sketch), []
+    flood, todo, k = np.full(n, -1), np.arange(n), 0
+    sure = min(1.0, similarity + SURE)
+    while len(todo):
+        stack, todo = [todo[0]], todo[1:]
+        flood[stack[0]] = k
+        while stack and len(todo):
+            x = stack.pop()
+            near = (sketch[todo] == sketch[x]).mean(axis=1) >= sure
+            hit, todo = todo[near], todo[~near]
+            flood[hit] = k
+            pairs += [(int(x), int(y)) for y in hit]
+            stack.extend(hit.tolist())
+        k += 1
+    if k > 1:
+        largest = np.bincount(flood).argmax()
+        for x in np.flatnonzero(flood != largest):
+            other = np.flatnonzero(flood != flood[x])
+            like = (sketch[other] == sketch[x]).mean(axis=1)
+            for y in np.argsort(-like, kind="stable")[:2]:
+                if like[y] >= similarity - AT_LEAST:
+                    pairs.append((int(x), int(other[y])))
+    return pairs
+
+
+def banded_pairs(sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (lead, node), lead < node, that some band's group brings together."""
+    rows = sketches.select(F.explode("keys").alias("key"), "node")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(rows.join(groups, "key"), "groups")
+    met = met.join(sketches.select("node", "sketch"), "node")
+    # Blocks of a large group meet pairwise; a row goes to one tile for each block there is.
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    own = F.pmod(F.xxhash64("node"), blocks)
+    tile = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(k, own) * blocks + F.greatest(k, own))
+    dealt = met.select("key", F.explode(tile).alias("tile"), "node", "sketch").repartition(shuffle_width(sketches.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "node")
 
-    return texts.mapInArrow(run, "key long, node long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, tiles, nodes, sketch in groups_of(batches):
+            start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
+            out: list[tuple[int, int]] = []
+            for s, e in zip(start, np.r_[start[1:], len(keys)], strict=True):
+                out += [(nodes[s + x], nodes[s + y]) for x, y in group_pairs(sketch[s:e], similarity)]
+            a, b = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["lead", "node"])
+
+    return dealt.mapInArrow(run, "lead long, node long")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches sorted by key and tile, recut so that none splits a group: keys, tiles, nodes, sketches."""
+    held: list[pa.RecordBatch] = []
+
+    def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        t = pa.Table.from_batches(parts)
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+        return t["key"].to_numpy(), t["tile"].to_numpy(), t["node"].to_numpy(), sketch
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, tile = b.column("key").to_numpy(), b.column("tile").to_numpy()
+        last = int(np.argmax((key == key[-1]) & (tile == tile[-1])))
+        if held and (last or held[-1].column("key")[0] != b.column("key")[0] or held[-1].column("tile")[0] != b.column("tile")[0]):
+            yield arrays([*held, b.slice(0, last)] if last else held)
+            held = []
+        elif last:
+            yield arrays([b.slice(0, last)])
+        held.append(b.slice(last))
+    if held:
+        yield arrays(held)
+
+
+def fingerprint_pairs(sketches: DataFrame) -> DataFrame:
+    """Pairs (lead, node) that fingerprints within three bits bring together: one of each fingerprint with the others, and across links."""
+    each = materialise(sketches.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    same = sketches.join(each, "fp").where("node <> first").select(F.col("first").alias("lead"), "node")
+    n, both = simhash.bit_counts(each)
+    if n < 2:
+        return same
+    links = simhash.fingerprint_links(each.select("fp"), n, both, BITS_APART)
+    a, b = each.select(F.col("fp").alias("a"), F.col("first").alias("x")), each.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    across = links.distinct().join(a, "a").join(b, "b").select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("node"))
+    return same.unionByName(across)
 
 
 def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """lead, node, alike of pairs of nodes."""
+    """Those of the pairs (lead, node) whose texts are alike."""
     x = texts.select(F.col("node").alias("lead"), F.col("text").alias("x"))
     sided = pairs.join(texts, "node").join(x, "lead").select("lead", "node", "x", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            alike = []
-            for s, t in zip(*(b.column(c).cast(pa.binary()).to_pylist() for c in ("x", "text")), strict=True):
-                s, t = run_hashes(s, words), run_hashes(t, words)
+            alike, before, s = [], None, np.empty(0)
+            for x, t in zip(*(b.column(c).cast(pa.binary()).to_pylist() for c in ("x", "text")), strict=True):
+                if x != before:
+                    before, s = x, run_hashes(x, words)
+                t = run_hashes(t, words)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 alike.append(both >= similarity * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column("lead"), b.column("node"), pa.array(alike, pa.bool_())], ["lead", "node", "alike"])
-
-    return sided.mapInArrow(run, "lead long, node long, alike boolean")
-
-
-def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (lead, node) between rows of ``node``, ``text`` (nodes distinct)."""
-    rows = materialise(band_rows(texts), "bands")
-    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = materialise(rows.join(groups, "key"), "groups")
-    texts = materialise(texts.join(left.select("node").distinct(), "node", "left_semi"), "candidates")
-    # Each band has its own order, so that a pair parted in one group can meet in another.
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    links, leaders = None, 1
-    while True:
-        ranked = materialise(left.withColumn("r", F.row_number().over(order)), "ranked")
-        lead = ranked.where(F.col("r") <= leaders).select("key", F.col("node").alias("lead"), F.col("r").alias("l"))
-        met = ranked.join(lead, "key").where("l < r")
-        told = materialise(compared(met.select("lead", "node").distinct(), texts, similarity), "compared")
-        found = told.where("alike").select("lead", "node")
-        links = found if links is None else links.unionByName(found)
-        gone = met.join(found, ["lead", "node"], "left_semi").select("key", "node").distinct()
-        left = materialise(ranked.where(F.col("r") > leaders).select("key", "node").join(gone, ["key", "node"], "left_anti"), "groups")
-        if left.isEmpty():
-            return links
-        leaders *= 2
+            yield pa.RecordBatch.from_arrays([b.column("lead"), b.column("node")], ["lead", "node"]).filter(pa.array(alike, pa.bool_()))
+
+    return sided.mapInArrow(run, "lead long, node long")
+
+
+def near_links(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links (lead, node) that connect the rows of ``node``, ``text`` (nodes distinct) that are alike."""
+    sketches = materialise(sketched(texts), "sketches")
+    pairs = banded_pairs(sketches, similarity, block).unionByName(fingerprint_pairs(sketches)).where("lead <> node").distinct()
+    pairs = materialise(pairs, "pairs")
+    some = texts.join(pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), "node", "left_semi")
+    return compared(pairs, some, similarity)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of ``docs``, one of each group that links of at least the similarity connect: that with the smallest doc_id (then the smallest text hash).
 
-    docs needs ``doc_id`` and ``text``; columns stay as they are. Rows alike in doc_id and text stay once. Texts without words are alike.
+    docs needs ``doc_id`` and ``text``; columns stay as they are. Rows alike in doc_id and text stay once. Null, empty and blank texts are alike.
     Rows with a null doc_id stay only where their group has no other. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    t, d, k = free_names(docs, "t", "d", "k")
+    keyed = docs.withColumn(t, F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id")))
-    nodes = materialise(keyed.groupBy(F.col("__t").alias("node")).agg(first.alias("s"), F.first("text").alias("text")), "texts")
+    nodes = materialise(keyed.groupBy(F.col(t).alias("node")).agg(first.alias("s"), F.first("text").alias("text")), "texts")
     found = connected_components(near_links(nodes.select("node", "text"), similarity))
     label = nodes.select("node", "s").join(found, "node", "left").select("node", "s", F.coalesce("component", "node").alias("component"))
-    stay = label.groupBy("component").agg(F.min(F.struct("s.no", "s.id", "node")).alias("s")).select(F.col("s.id").alias("__d"), F.col("s.node").alias("__k"))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__t"]).drop("__t")
+    stay = label.groupBy("component").agg(F.min(F.struct("s.no", "s.id", "node")).alias("s")).select(F.col("s.id").alias(d), F.col("s.node").alias(k))
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(k)), "left_semi")
+    return kept.dropDuplicates(["doc_id", t]).drop(t)

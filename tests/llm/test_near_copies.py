@@ -28,3 +28,37 @@ def test_edited_copies_are_grouped(spark, tmp_path):
     assert not {x for x in gone if x is not None and 100 <= x < 200} - alike
     assert set(range(60)) | {200, 201, 202, 204} <= set(kept) and {203, 205, None, 300, 301} <= gone
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_groups_of_unlike_copies_are_connected_like_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from quirefold.llm.common import connected_components
+    from quirefold.llm.nearcopies import near_links
+
+    rng, texts = random.Random(6), []
+    for _ in range(3):
+        base = prose(rng, 150)
+        for _ in range(120):
+            q = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 8)):
+                q[at] = prose(rng, 1)[0]
+            texts.append(q)
+    own = [runs(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
+    for block in (1 << 13, 25):
+        found = {r["node"]: r["component"] for r in connected_components(near_links(df, block=block)).collect()}
+        wrong = [i for i in range(len(texts)) if found.get(i, i) != top(i)]
+        assert len(wrong) <= 2, wrong
