@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import SPACE, materialise, word_count
+from quirefold.llm.common import SPACE, free_names, materialise, word_count
 
 #: Expected rows of one range of keys.
 RANGE_ROWS = 1 << 12
@@ -51,6 +51,8 @@ def mix_takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
     come last. A source of null is a source like any other. An empty table gives no rows.
     """
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("g"))
+    # Only these columns travel, so names of the caller's own clash with none of those made here.
+    docs = docs.select(*keep, "doc_id", "source", "text")
     tag = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     rows = materialise(docs.select(*keep, "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     per = materialise(source_targets(rows, weights, share, most), "sources")
@@ -78,18 +80,20 @@ def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken.
 
     A document taken in part keeps its first words, joined by single spaces, and its ``n_chars`` is counted
-    anew where there is such a column. Documents that are not taken go. Rows that repeat a doc_id and text are
-    taken as often as the one of them that is taken most.
+    anew where there is such a column. Documents that are not taken go, with them null, empty and blank texts. Rows alike in doc_id and text have
+    a take each. A null doc_id and a null source count like any other. An empty table gives no rows.
     """
-    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    takes = mix_takes(keyed, keep=("__t",), **how).where("taken > 0").groupBy("doc_id", "__t").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    takes = takes.select(F.col("doc_id").alias("__d"), F.col("__t").alias("__k"), "__size", "__taken")
-    joined = keyed.join(takes, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")))
-    whole, part = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.col("__taken") % F.col("__size")
-    lengths = F.concat(F.array_repeat(F.col("__size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("__n", F.explode(lengths))
+    t, i, k, row, size, taken, n = free_names(docs, "t", "i", "k", "row", "size", "taken", "n")
+    keyed = docs.withColumn(t, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    takes = mix_takes(keyed, keep=(t, i), **how).groupBy(t, i).agg(F.max("size").alias(size), F.sort_array(F.collect_list("taken"), asc=False).alias(k)).where(F.col(k)[0] > 0)
+    # Sorted by the join's keys already, so the number of a row among its equals costs no exchange.
+    joined = keyed.join(takes.hint("merge"), [t, i]).withColumn(row, F.row_number().over(Window.partitionBy(t, i).orderBy(F.lit(1))))
+    joined = joined.withColumn(taken, F.get(k, F.col(row) - 1)).where(F.col(taken) > 0)
+    whole, part = F.floor(F.col(taken) / F.col(size)).cast("int"), F.col(taken) % F.col(size)
+    lengths = F.concat(F.array_repeat(F.col(size), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    out = joined.withColumn(n, F.explode(lengths))
     words = F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE)
-    text = F.when(F.col("__n") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("__n").cast("int")), " "))
+    text = F.when(F.col(n) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col(n).cast("int")), " "))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bound_batches, kth_largest, materialise
+from quirefold.llm.common import bound_batches, free_names, kth_largest, materialise, no_smaller
 
 CELLS = 1 << 15
 SMOOTHING = 0.5
-#: Keys are compared to a millionth, between -2**27 and 2**27 / 2.
-SCALE, SHIFT = 1_000_000, 1 << 47
 TOKEN = re.compile(rb"[a-z0-9_\x80-\xff]+|[^a-z0-9_\x80-\xff]+")
 
 
@@ -95,11 +93,12 @@ def marked(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Da
     Labels are one row a document: of several for one doc_id, the worst counts. Labels up to
     ``MAX_BROADCAST`` rows are broadcast, so the texts stay where they are; more are joined by a shuffle.
     """
-    own = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__d")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    d, = free_names(docs, "d")
+    own = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(d)).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     own = own.where(F.col("quality").isNotNull())
     if own.count() <= MAX_BROADCAST:
         own = F.broadcast(own)
-    joined = docs.select("doc_id", "text", *keep).join(own, F.col("doc_id") == F.col("__d"), "left")
+    joined = docs.select("doc_id", "text", *keep).join(own, F.col("doc_id") == F.col(d), "left")
     target = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     return joined.select("doc_id", "text", *keep, "quality", target.alias("target"))
 
@@ -135,28 +134,45 @@ def gumbel(doc_id: object) -> object:
     return -F.log(-F.log(u))
 
 
+def whole_keys(scored: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``scored`` with its key in whole numbers of 0 to 2**60, and what parts equal keys: a hash of the id, then the row's number.
+
+    The scale is a power of two that the largest key sets, so no key is cut off and keys keep their order to 2**-59 of it.
+    """
+    most = scored.agg(F.max(F.abs("key")).alias("m")).first()["m"] or 1.0
+    scale = 2.0 ** (58 - max(0, int(np.ceil(np.log2(max(most, 1.0))))))
+    rank, tie, row = free_names(scored, "rank", "tie", "row")
+    out = scored.withColumn(rank, (F.col("key") * scale).cast("long") + (1 << 59))
+    return out.withColumn(tie, F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 4)).withColumnRenamed("__n", row), [rank, tie, row]
+
+
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, doc_id, log_weight, key (log weight plus noise) and selected: whether the key is among the k largest.
+    """keep, doc_id, log_weight, key (log weight plus noise) and selected: whether the key is among the k largest, exactly k rows of them.
 
-    k: how many documents to draw; if None, as many as have a log weight above the cut that the labels call for. Rows with the same
-    key at the edge are selected together, so repeated rows share one fate. A null or wordless text weighs 0; a null
-    doc_id has the noise of the null value. An empty table gives no rows.
+    k: how many documents to draw; if None, as many as have a log weight above the cut that the labels call for. Equal keys are parted
+    by a hash of the doc_id, then row by row. A null or wordless text weighs 0; a null doc_id has the noise of the null value. Repeated rows have equal keys
+    and are drawn one by one. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     rows = marked(docs, labels, keep)
     ratios = log_ratios(ngram_counts(rows))
     columns = ("doc_id", *keep, "quality")
     scored = with_log_weight(rows, ratios, columns)
-    scored = materialise(scored.withColumn("key", F.col("log_weight") + gumbel("doc_id")), "weights")
+    scored = materialise(scored.withColumn("key", F.col("log_weight") + gumbel("doc_id")).withColumn("__n", F.monotonically_increasing_id()), "weights")
     if k is None:
         k = scored.where(F.col("log_weight") > acceptance_cut(scored)).count()
-    whole = F.greatest(F.lit(0), F.least(F.lit((1 << 48) - 1), F.round(F.col("key") * SCALE).cast("long") + F.lit(SHIFT)))
-    edge = kth_largest(scored.select(whole.alias("k")), "k", k) if k > 0 else 1 << 48
-    return scored.select(*keep, "doc_id", "log_weight", "key", (whole >= F.lit(edge or 0)).alias("selected"))
+    ranked, order = whole_keys(scored)
+    edge = kth_largest(ranked.select(*order), order, k) if k > 0 else None
+    selected = no_smaller(order, edge) if edge else F.lit(k > 0)
+    return ranked.select(*keep, "doc_id", "log_weight", "key", selected.alias("selected"))
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that the draw selects, with their columns."""
-    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    chosen = resample(keyed, labels, k, keep=("__t",)).where("selected").select(F.col("doc_id").alias("__d"), F.col("__t").alias("__k")).distinct()
-    return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "left_semi").drop("__t")
+    """The rows of ``docs`` that the draw selects, with their columns; rows alike in doc_id and text stay if one of them is drawn.
+
+    Null, empty and wordless texts weigh 0 and stay or go like others of that weight; a null doc_id takes part. An empty table gives no rows.
+    """
+    t, d, key = free_names(docs, "t", "d", "k")
+    keyed = docs.withColumn(t, F.xxhash64(F.coalesce("text", F.lit(""))))
+    chosen = resample(keyed, labels, k, keep=(t,)).where("selected").select(F.col("doc_id").alias(d), F.col(t).alias(key)).distinct()
+    return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(key)), "left_semi").drop(t)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bound_batches, connected_components, materialise, shuffle_width
+from quirefold.llm.common import bound_batches, connected_components, free_names, materialise, shuffle_width
 
 BITS = 64
 #: Index rows of one bucket that one task takes; larger buckets are cut into blocks that meet pairwise.
@@ -338,12 +338,13 @@ def keep_one(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFram
     Rows alike in doc_id and text stay once. Rows with a null doc_id stay only where their component has no other.
     """
     text_key = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    keyed = docs.withColumn("__t", text_key)
-    found = simhash_components(keyed.select("doc_id", "__t", "text"), words, max_distance, keys=("doc_id", "__t"))
+    t, d, k = free_names(docs, "t", "d", "k")
+    keyed = docs.withColumn(t, text_key)
+    found = simhash_components(keyed.select("doc_id", t, "text"), words, max_distance, keys=("doc_id", t))
     # Components without any id are told apart by their smallest fingerprint's rows: null ids group by component of null.
     stay = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("c")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__t")).alias("s")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col(t).alias("t"))).alias("s")
     )
-    stay = stay.select(F.col("s.doc_id").alias("__d"), F.col("s.__t").alias("__k"))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__t"]).drop("__t")
+    stay = stay.select(F.col("s.doc_id").alias(d), F.col("s.t").alias(k))
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(k)), "left_semi")
+    return kept.dropDuplicates(["doc_id", t]).drop(t)

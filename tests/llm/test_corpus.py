@@ -76,9 +76,15 @@ def test_components(spark):
 def test_kth_largest(spark):
     values = [5, 9, 9, 9, 1 << 40, 0, 3]
     df = spark.createDataFrame([(v,) for v in values], "k long")
+    for k in (1, 2, 5, 6, 7):  # the edge of equal values is met at their last
+        low = common.kth_largest(df, ["k"], k)
+        assert sum((v,) >= tuple(low) for v in values) == (4 if k == 2 else k)
+    assert common.kth_largest(df, ["k"], 8) is None
+    two = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "k long, i long")
     for k in range(1, 8):
-        assert common.kth_largest(df, "k", k) == sorted(values, reverse=True)[k - 1]
-    assert common.kth_largest(df, "k", 8) is None
+        edge = common.kth_largest(two, ["k", "i"], k)
+        top = sorted(((v, i) for i, v in enumerate(values)), reverse=True)[:k]
+        assert sorted(map(tuple, two.where(common.no_smaller(["k", "i"], edge)).collect()), reverse=True) == top
 
 
 def slow_fingerprint(text):
@@ -186,7 +192,7 @@ def test_compact_windows_are_the_cartesian_tree():
     for n, least in ((1, 1), (40, 5), (60, 1), (30, 31)):
         tokens = rng.integers(0, 12, n).astype(np.uint64)
         found = sorted(zip(*(x.tolist() for x in passages.compact_windows(tokens, np.array([0]), np.array([n]), least, 0)), strict=True))
-        rank = common.mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)) & ~passages.POSITION_MASK
+        rank = common.mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64((1 << 28) - 1)
         for i in range(n):
             for j in range(i + least - 1, n):
                 holds = [(l, c, r) for l, c, r in found if l <= i <= c <= j <= r]
@@ -358,10 +364,15 @@ def test_mixing(spark, words):
     assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
     again = mixing.mix_takes(table(spark, rows).repartition(5), range_rows=1000).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, found))
-    mixed = mixing.mixed_documents(table(spark, [r for r in rows if r[0] not in (23, None)]))
-    assert mixed.columns == table(spark, rows).columns
-    words_of = sum(len((r["text"] or "").split()) for r in mixed.collect())
-    assert words_of == sum(r["taken"] for r in mixing.mix_takes(table(spark, [r for r in rows if r[0] not in (23, None)])).collect())
+    clash = table(spark, rows).withColumns({c: F.lit(1) for c in ("__t", "__n", "__size", "size", "taken", "target")})
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns
+    words_of = defaultdict(int)
+    for r in mixed.collect():
+        words_of[r["source"]] += len(r["text"].split())
+    assert words_of == {s: n for s, n in taken.items() if n}
+    four = spark.createDataFrame([(1, "a b c d e f g h i", "s")] * 4 + [(2, "x y", "s")], "doc_id long, text string, source string")
+    assert sum(len(r["text"].split()) for r in mixing.mixed_documents(four).collect()) == sum(r["taken"] for r in mixing.mix_takes(four).collect()) == 57
     assert mixing.mix_takes(table(spark, [])).count() == 0
 
 
