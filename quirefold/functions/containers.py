@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +21,11 @@ LUMINANCE = [
     49, 64, 78, 87, 103, 121, 120, 101,
     72, 92, 95, 98, 112, 100, 103, 99,
 ]
+# Filter names around image data, and the order in which a table's 64 cells are stored (row by row numbers).
+JPEG_FILTERS, FLATE_FILTERS = ("/DCTDecode", "/DCT"), ("/FlateDecode", "/Fl")
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
 LETTER = [0.0, 0.0, 612.0, 792.0]
-#: Entries that a rewritten image does not keep.
+# Entries that a rewritten image does not keep.
 DROPPED = ["/Filter", "/DecodeParms", "/Length", "/DL", "/ColorTransform"]
 
 
@@ -120,6 +124,71 @@ def jpeg_header(content: bytes) -> tuple[int, int, int, int] | None:
     return None
 
 
+def luma_quality(content: bytes) -> int | None:
+    """The quality that the first luminance table speaks of: how much coarser it is than the standard's, on average; None without one."""
+    for kind, start, end in segments(content):
+        at = start
+        while kind == 0xDB and at < end:
+            wide, number = content[at] >> 4, content[at] & 15
+            step = 2 if wide else 1
+            if number == 0 and at + 1 + 64 * step <= end:
+                table = np.frombuffer(content[at + 1 : at + 1 + 64 * step], dtype=">u2" if wide else np.uint8)
+                scale = float((table / np.array(LUMINANCE)[ZIGZAG]).mean() * 100)
+                if scale <= 0:
+                    return 100
+                return int(max(1, min(100, np.floor((100 - scale / 2 if scale <= 100 else 5000 / scale) + 0.5))))
+            at += 1 + 64 * step
+    return None
+
+
+def segments(content: bytes) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of a JPEG's segments before its scan."""
+    at = 2 if content[:2] == b"\xff\xd8" else len(content)
+    while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+        end = at + 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+        yield content[at + 1], at + 4, min(end, len(content))
+        at = max(end, at + 4)
+
+
+def jpeg_quality(content: Column) -> Column:
+    @F.pandas_udf("int")
+    def each(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else luma_quality(bytes(v)) for v in x], dtype="Int32")
+
+    return each(content)
+
+
+def readable_image(content: Column, filters: Column, kind: Column, width: Column, height: Column, components: Column, bits: Column) -> Column:
+    """An image's data as an encoder takes it; null where it cannot be trusted.
+
+    A JPEG is taken out of the Flate layers around it, and must have the size and number of colours that the document says. Raw samples must all be there, and no filter left; of 16-bit
+    samples the high bytes stay.
+    """
+
+    def one(data: object, names: object, kind: str, w: int, h: int, n: int, depth: int) -> bytes | None:
+        names, data = list(names), bytes(data)
+        if not data:
+            return None
+        if kind == "jpeg":
+            if names and (names[-1] not in JPEG_FILTERS or not set(names[:-1]) <= set(FLATE_FILTERS)):
+                return None
+            for _ in names[:-1]:
+                try:
+                    data = zlib.decompress(data)
+                except zlib.error:
+                    return None
+            found = jpeg_header(data)
+            return data if found and found[:3] == (w, h, n) else None
+        need = int(w) * int(h) * int(n) * (2 if depth == 16 else 1)
+        return None if names or len(data) < need else data[0:need:2] if depth == 16 else data
+
+    @F.pandas_udf("binary")
+    def each(data: pd.Series, names: pd.Series, kind: pd.Series, w: pd.Series, h: pd.Series, n: pd.Series, depth: pd.Series) -> pd.Series:
+        return pd.Series([None if x[0] is None or x[2] is None else one(*x) for x in zip(data, names, kind, w, h, n, depth, strict=True)], dtype=object)
+
+    return each(content, filters, kind, width, height, components, bits)
+
+
 def jpeg_info(content: Column) -> Column:
     """Size of a JPEG from its frame header; nulls for anything else."""
 

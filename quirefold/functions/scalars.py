@@ -20,14 +20,25 @@ def js_round(x: Column) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    """Decimal text with so many places, halves away from zero."""
-    return F.round(x.cast("decimal(38,12)"), places).cast(f"decimal(38,{places})").cast("string")
+    """Decimal text of a number of 0 or more with so many places: the nearest by its exact binary value, the larger of two as near.
+
+    Twice the scaled number is taken as a product and what the product lost, so 1.005, which is stored as slightly less, becomes 1.00.
+    """
+    scale, x = 10**places, x.cast("double")
+    low = F.floor(x * float(scale)).cast("long")
+    wide = x * 134217729.0  # 2**27 + 1 parts the digits of x in two halves
+    head = wide - (wide - x)
+    product, middle = x * float(2 * scale), (low * 2 + 1).cast("double")
+    lost = (head * float(2 * scale) - product) + (x - head) * float(2 * scale)
+    n = low + F.when((product > middle) | ((product == middle) & (lost >= 0)), 1).otherwise(0)
+    whole = F.floor(n / scale).cast("long").cast("string")
+    return F.concat(whole, F.lit("."), F.lpad((n % scale).cast("string"), places, "0")) if places else n.cast("string")
 
 
 def format_bytes(n: Column) -> Column:
     """Bytes in decimal units to three digits; the unit is chosen before rounding."""
     k = n / 1000.0
-    value = F.when(k < 1000, k).when(k < 1e6, k / 1000.0).otherwise(k / 1e6)
+    value = F.when(k < 1000, k).when(k < 1e6, k / 1000.0).otherwise(k / 1000.0 / 1000.0)
     unit = F.when(k < 1000, "KB").when(k < 1e6, "MB").otherwise("GB")
     text = F.when(value >= 100, fixed(value, 0)).when(value >= 10, fixed(value, 1)).otherwise(fixed(value, 2))
     return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(text, F.lit(" "), unit))
@@ -161,3 +172,31 @@ def magic_within(content: Column, magic: bytes = b"%PDF-", last_offset: int = 10
 def _aligned(head: Column, magic: bytes) -> Column:
     """Guards against a hexadecimal match between two bytes."""
     return F.contains(head, F.lit(bytearray(magic)))
+
+
+def positive(x: Column) -> Column:
+    """The number where it is above 0, else null."""
+    return F.when(x > 0, x)
+
+
+def weights_for(deck: Column, limit: Column, budget: Column) -> Column:
+    """What a deck weighs: itself, the message it makes, the mailbox's limit, and the raw budget."""
+    return F.struct(deck.alias("deck"), message_bytes(deck).alias("email"), limit.alias("limit"), budget.alias("budget"))
+
+
+def id_arguments(encrypted: Column) -> Column:
+    """Options of a rewrite that give the same file each time; an encrypted file's id must stay."""
+    return F.when(encrypted, F.array().cast("array<string>")).otherwise(F.array(F.lit("--deterministic-id")))
+
+
+def encoder_settings(quality: Column, distance: Column | None = None) -> Column:
+    """Settings for a canvas quality: the given distance or the table's, with halved colour and progressive scans."""
+    at = looks_distance(quality) if distance is None else F.coalesce(distance, looks_distance(quality))
+    return F.struct(at.alias("distance"), F.lit(True).alias("subsample420"), F.lit(True).alias("progressive"))
+
+
+def name_list(value: Column) -> Column:
+    """A VARIANT that is one name or a list of them, as an array of names; what is no name is left out."""
+    one, many = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "array<variant>")
+    names = F.filter(F.transform(many, lambda v: F.try_variant_get(v, "$", "string")), lambda x: x.isNotNull() & (x != ""))
+    return F.when(many.isNotNull(), names).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.sources.shared import checkpointed
+
 
 def family(label: Column) -> Column:
     """``name x12 rest`` as ``name x rest``; a label of one word as it is."""
@@ -17,9 +19,21 @@ def setting(label: Column) -> Column:
     return F.substring(F.split(label, r"\s+")[1], 2, 99).cast("double")
 
 
-def upper_median(x: Column) -> Column:
-    """The middle value, the higher of two; an aggregate."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: the middle value of each group, the higher of two; nulls do not count.
+
+    Equal values are counted first. Their counts are dealt by value to ranges of about equal size, so a group of any size is many tasks' work: sums of the
+    ranges say in which of them a group's middle lies, and a running sum within those alone finds it.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    counts = checkpointed(counts.repartitionByRange(value).withColumn("__r", F.spark_partition_id()))
+    ranges = counts.groupBy(*keys, "__r").agg(F.sum("__n").alias("__in"))
+    before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "__r", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__base"), "__in", F.floor(F.sum("__in").over(Window.partitionBy(*keys)) / 2).alias("__middle"))
+    hit = ranges.where((F.col("__base") <= F.col("__middle")) & (F.col("__middle") < F.col("__base") + F.col("__in")))
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = counts.join(hit, [*keys, "__r"]).withColumn("__run", F.col("__base") + F.sum("__n").over(inside))
+    return each.where(F.col("__run") > F.col("__middle")).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
 def bytes_at(points: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,10 +76,19 @@ def settings_that_serve(points: DataFrame, targets: DataFrame, keys: list[str],
 
 
 def rank_services(services: DataFrame, needs: list[str], boosts: list[str]) -> DataFrame:
-    """services (id, rank, picks) in order: needs met, then boosts, then their own rank."""
+    """services (id, rank, picks) in order: needs met, then boosts, then their own rank.
+
+    Sorted in ranges; a range's rows are numbered in a task of their own, and begin after the sum of the ranges before.
+    """
     met = lambda names: F.size(F.array_intersect("picks", F.array(*map(F.lit, names)).cast("array<string>")))
+    order = [F.desc("hits"), F.desc("boost"), F.asc("rank"), F.asc("id")]
     scored = services.select("id", "rank", met(needs).alias("hits"), met(boosts).alias("boost"))
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("boost"), "rank", "id")))
+    dealt = checkpointed(scored.repartitionByRange(*order).withColumn("__r", F.spark_partition_id()))
+    sizes = dealt.groupBy("__r").agg(F.count("*").alias("__n"))
+    # One row a range.
+    starts = sizes.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    placed = dealt.join(F.broadcast(starts), "__r").withColumn("place", (F.col("__base") + F.row_number().over(Window.partitionBy("__r").orderBy(*order))).cast("int"))
+    return placed.select("id", "rank", "hits", "boost", "place")
 
 
 def relative_totals(sizes: DataFrame, baseline: str) -> DataFrame:

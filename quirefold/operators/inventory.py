@@ -106,22 +106,21 @@ def with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
     return out.select("deck_id", "ref", reach.alias("reach"), (F.coalesce("has_matte", F.lit(False)) | F.coalesce("m", F.lit(False))).alias("has_matte"), "mask_of")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, away: tuple[str, ...] = (), most: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, away: tuple[str, ...] = ()) -> DataFrame:
     """deck_id, root, ref: everything a root leads to over edges (deck_id, src, key, dst), but for keys that lead away.
 
-    A frontier at a time, each a join and an anti-join by deck, so cycles end; stops when nothing new is reached.
+    A frontier at a time, each a join and an anti-join by deck, so cycles end; it goes on until nothing new is reached.
     """
     usable = edges.where(~F.col("key").isin(*away)) if away else edges
-    usable = usable.select(F.col("deck_id").alias("d"), "src", "dst").distinct()
-    seen = roots.select("deck_id", "root", F.col("root").alias("ref")).distinct()
+    usable = checkpointed(usable.select(F.col("deck_id").alias("d"), "src", "dst").distinct())
+    seen = checkpointed(roots.select("deck_id", "root", F.col("root").alias("ref")).distinct())
     frontier = seen
-    for _ in range(most):
+    while True:
         step = frontier.join(usable, (F.col("deck_id") == F.col("d")) & (F.col("ref") == F.col("src"))).select("deck_id", "root", F.col("dst").alias("ref")).distinct()
         frontier = checkpointed(step.join(seen, ["deck_id", "root", "ref"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = checkpointed(seen.unionByName(frontier))
-    return seen
 
 
 def inherited(nodes: DataFrame, most: int = 64) -> DataFrame:
@@ -137,3 +136,52 @@ def inherited(nodes: DataFrame, most: int = 64) -> DataFrame:
         if open_.isEmpty():
             break
     return done.unionByName(open_).select("deck_id", "ref", "value")
+
+
+def page_images(declared: DataFrame, reached: DataFrame, images: DataFrame) -> DataFrame:
+    """deck_id, ref, pages, reach: each image with the pages that name it and those from which it can be reached, both sorted.
+
+    declared, reached: deck_id, page, ref, as often as they come; images: deck_id, ref of what can be read as an image. An image that no page names but one reaches is listed too.
+    """
+    both = declared.select("deck_id", "page", "ref", F.lit(True).alias("named")).unionByName(reached.select("deck_id", "page", "ref", F.lit(False).alias("named")))
+    pages = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("page"))))
+    found = both.join(images.select("deck_id", "ref").distinct(), ["deck_id", "ref"], "left_semi")
+    return found.groupBy("deck_id", "ref").agg(pages(F.col("named")).alias("pages"), pages(~F.col("named")).alias("reach"))
+
+
+def without_credentials(objects: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """objects (deck_id, ref, kind) without a deck's manifests (deck_id, ref), and (deck_id, refused): whether any object of that kind is left, so that the deck is not rewritten."""
+    left = objects.join(manifests, ["deck_id", "ref"], "left_anti")
+    return left, left.groupBy("deck_id").agg(F.bool_or(F.col("kind") == "manifest").alias("refused"))
+
+
+def untracked(resources: DataFrame, forms: DataFrame, roots: DataFrame) -> DataFrame:
+    """deck_id, page, ref, kind: what pages draw without a tracked operator: images and forms of soft masks, patterns and glyphs; kind ``inherits`` (ref null) if some of it has no resources of its own.
+
+    resources: deck_id, owner, key, ref, subtype: the entries of each owner's own dictionary, where owner is a page, form or font, key ``/XObject``, ``/SMask``, ``/Pattern`` or ``/Font``, subtype
+    that of the object (``/Image``, ``/Form``, ``/Type3``, or null). forms: deck_id, ref of the streams and fonts that have resources of their own. roots: deck_id, page, owner.
+    A closure over (object, whether it is tracked): an object can be met both ways, once each.
+    """
+    key, sub = F.col("key"), F.col("subtype")
+    entries = checkpointed(resources.select(F.col("deck_id").alias("d"), F.col("owner").alias("o"), "key", "ref", "subtype").distinct())
+    own = forms.select("deck_id", F.col("ref"), F.lit(True).alias("owns")).distinct()
+    seen, found = None, None
+    frontier = checkpointed(roots.select("deck_id", "page", F.col("owner").alias("at"), F.lit(True).alias("tracked")).distinct())
+    kind = resources.schema["ref"].dataType.simpleString()
+    while True:
+        into = F.when((key == "/XObject") & (sub == "/Form"), F.col("tracked")).when(key.isin("/SMask", "/Pattern") | ((key == "/Font") & (sub == "/Type3")), F.lit(False))
+        met = frontier.join(entries, (F.col("deck_id") == F.col("d")) & (F.col("at") == F.col("o"))).join(own, ["deck_id", "ref"], "left")
+        met = checkpointed(met.select("deck_id", "page", "ref", "key", "subtype", "tracked", into.alias("into"), "owns").distinct())
+        hidden = F.coalesce(~F.col("into"), F.lit(False))
+        told = lambda when, name, ref: F.when(when, F.struct(ref.cast(kind).alias("ref"), F.lit(name).alias("kind")))
+        seen_by = F.array(
+            told((key == "/XObject") & (sub == "/Image") & ~F.col("tracked"), "image", F.col("ref")), told(hidden & (key != "/Font"), "form", F.col("ref")),
+            told(hidden & F.col("owns").isNull(), "inherits", F.lit(None)),
+        )
+        new = checkpointed(met.select("deck_id", "page", F.explode(F.array_compact(seen_by)).alias("x")).select("deck_id", "page", "x.ref", "x.kind").distinct())
+        found = new if found is None else found.unionByName(new)
+        seen = frontier if seen is None else checkpointed(seen.unionByName(frontier).distinct())
+        ahead = met.where(F.col("into").isNotNull() & F.col("owns").isNotNull()).select("deck_id", "page", F.col("ref").alias("at"), F.col("into").alias("tracked")).distinct()
+        frontier = checkpointed(ahead.join(seen, ["deck_id", "page", "at", "tracked"], "left_anti"))
+        if frontier.isEmpty():
+            return found.distinct()

@@ -23,7 +23,7 @@ IMAGES = """SELECT l_orderkey AS deck_id, CAST(l_linenumber AS BIGINT) AS ref, C
     CAST(floor(max(l_quantity) * 55) AS BIGINT) + 60 AS height, CAST(floor(max(l_extendedprice) * 40) AS BIGINT) AS bytes,
     CASE max(l_suppkey) % 5 WHEN 0 THEN '/DeviceGray' WHEN 1 THEN '/DeviceCMYK' WHEN 2 THEN '/CalRGB' ELSE '/DeviceRGB' END AS space,
     CASE WHEN max(l_partkey) % 13 = 0 THEN 1 WHEN max(l_partkey) % 7 = 0 THEN 16 ELSE 8 END AS bits,
-    CASE max(l_returnflag) WHEN 'A' THEN '/DCTDecode' WHEN 'N' THEN '/FlateDecode' ELSE '/JPXDecode' END AS filter,
+    CASE max(ascii(l_returnflag)) WHEN 65 THEN '/DCTDecode' WHEN 78 THEN '/FlateDecode' ELSE '/JPXDecode' END AS filter,
     max(l_partkey) % 17 = 0 AS stencil, max(l_partkey) % 19 = 0 AS key_mask, max(l_discount) > 0.09 AS has_matte, max(l_tax) > 0.07 AS is_mask
     FROM {lineitem} WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY l_orderkey, l_linenumber"""
 PAGES = "SELECT DISTINCT l_orderkey AS deck_id, CAST(l_linenumber AS BIGINT) AS page, CASE WHEN l_orderkey % 3 = 0 THEN 595.0 ELSE 960.0 END AS page_width, CASE WHEN l_orderkey % 3 = 0 THEN 842.0 ELSE 540.0 END AS page_height FROM {lineitem}"
@@ -159,14 +159,6 @@ def a8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
-@query()
-def o10_fill_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = ladder.predict(plans_of(spark, sf_dir), spark.createDataFrame([], "deck_id long, photo boolean, rung int, cal_base double, cal_after double"))
-    cover = ladder.coverage(base(spark, sf_dir, PLACED), base(spark, sf_dir, PAGES), base(spark, sf_dir, IMAGES))
-    versions = plans.select("deck_id", "ref", "rung", F.col("predicted").alias("bytes"), F.lit(4).alias("at")).join(cover, ["deck_id", "ref"])
-    return ladder.fill_budget(versions, base(spark, sf_dir, BUDGETS).withColumn("budget", F.col("budget").cast("double")))
-
-
 #: Objects of a page: its image, a font that all pages of a deck use, and a logo on its first three pages.
 USES = """SELECT deck_id, ref AS page, ref AS ref, bytes FROM ({images}) i UNION ALL SELECT deck_id, ref, 1000, deck_id % 50000 FROM ({images}) i UNION ALL SELECT deck_id, ref, 1001, deck_id % 9000 FROM ({images}) i WHERE ref <= 3"""
 SPLIT = f"""WITH u AS ({USES}), n AS (SELECT deck_id, count(DISTINCT page) AS n FROM u GROUP BY 1), r AS (SELECT deck_id, ref, count(DISTINCT page) AS c, max(bytes) + 24 AS w FROM u GROUP BY 1, 2),
@@ -197,21 +189,22 @@ def decks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.decks_of(pages).withColumn("sizes", F.transform("sizes", lambda x: x.cast("double"))).join(shared, "deck_id")
 
 
-@query(PACK + " SELECT f.deck_id, part, CAST(min(f.k) AS INT) AS start_page, CAST(max(f.k) AS INT) AS end_page, sum(bytes) + max(shared)::DOUBLE AS bytes, sum(bytes) + max(shared) <= 1000000 AS fits FROM f JOIN e ON e.deck_id = f.deck_id AND e.k = f.k GROUP BY 1, 2")
-def o8_greedy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    budget = F.lit(1_000_000.0)
-    return split.parts_of(decks_of(spark, sf_dir), split.packed_edges(F.col("sizes"), F.col("shared"), budget), F.col("shared"), budget)
-
-
 @query(PACK + " SELECT deck_id, CAST(greatest(2, max(part)) AS INT) AS parts FROM f GROUP BY 1")
 def w7_fewest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decks_of(spark, sf_dir).select("deck_id", split.fewest_parts(F.col("sizes"), F.col("shared"), F.lit(1_000_000.0)).alias("parts"))
 
 
-@query()
+@query(SPLIT.replace("WITH u", "WITH RECURSIVE u") + """, e AS (SELECT deck_id, row_number() OVER (PARTITION BY deck_id ORDER BY page) AS k, sum(bytes) OVER (PARTITION BY deck_id ORDER BY page) AS run FROM g),
+    t AS (SELECT deck_id, max(k) AS pages, max(run)::DOUBLE / 3 AS share, list(run ORDER BY k) AS s FROM e GROUP BY 1 HAVING max(k) >= 3),
+    w AS (SELECT deck_id, 0 AS k, []::BIGINT[] AS b, 0::BIGINT AS reached, false AS stop FROM t UNION ALL
+        SELECT deck_id, k, CASE WHEN use THEN list_append(b, least(CASE WHEN share * k - coalesce(s[q - 1], 0) < s[q] - share * k AND q - 1 > coalesce(b[len(b)], 0) THEN q - 1 ELSE q END, pages - (3 - k))) ELSE b END, CASE WHEN use THEN q ELSE reached END, NOT use
+        FROM (SELECT w.deck_id, w.k + 1 AS k, w.b, w.reached, t.s, t.share, t.pages, list_filter(range(w.reached + 1, t.pages), lambda p: t.s[p] >= t.share * (w.k + 1))[1] AS q, NOT w.stop AND q IS NOT NULL AS use FROM w JOIN t USING (deck_id) WHERE w.k < 2) x),
+    f AS (SELECT w.deck_id, w.b, pages FROM w JOIN t USING (deck_id) WHERE k = 2), f1 AS (SELECT deck_id, pages, CASE WHEN len(b) < 1 THEN list_append(b, least(pages - 1, 1)) ELSE b END AS b FROM f),
+    f2 AS (SELECT deck_id, pages, CASE WHEN len(b) < 2 THEN list_append(b, least(pages - 1, b[1] + 1)) ELSE b END AS b FROM f1)
+    SELECT deck_id, array_to_string(b, ',') AS breaks, b[1] >= 1 AND b[2] > b[1] AND b[2] < pages AS valid FROM f2""")
 def w6_even_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decks = decks_of(spark, sf_dir).where(F.size("sizes") >= 3)
-    return decks.select("deck_id", split.even_breaks(F.col("sizes"), F.lit(3)).alias("breaks")).withColumn("valid", split.valid_breaks(F.col("breaks"), F.lit(99)))
+    decks = decks_of(spark, sf_dir).where(F.size("sizes") >= 3).select("deck_id", F.size("sizes").alias("pages"), split.even_breaks(F.col("sizes"), F.lit(3)).alias("b"))
+    return decks.select("deck_id", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("breaks"), split.valid_breaks(F.col("b"), F.col("pages")).alias("valid"))
 
 
 @query(SPLIT + ", e AS (SELECT deck_id, bytes, row_number() OVER (PARTITION BY deck_id ORDER BY page) AS k, count(*) OVER (PARTITION BY deck_id) AS m, shared FROM g JOIN s USING (deck_id)) SELECT deck_id, CAST(CASE WHEN k <= 2 THEN 1 ELSE 2 END AS INT) AS part, CAST(min(k) AS INT) AS start_page, CAST(max(k) AS INT) AS end_page, sum(bytes) + max(shared)::DOUBLE AS bytes, sum(bytes) + max(shared) <= 2000000 AS fits FROM e WHERE m > 2 GROUP BY 1, 2")
@@ -272,15 +265,26 @@ def o12_lagrangian_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.choose_versions(versions_of(spark, sf_dir), base(spark, sf_dir, BUDGETS).withColumn("budget", F.col("budget").cast("double")))
 
 
-@query("""SELECT event_id, CASE WHEN n < 1000 THEN n || ' B' ELSE NULL END AS small, CAST(CASE WHEN n <= 0 OR n // 3 >= n THEN 0 ELSE floor((1 - (n // 3)::DOUBLE / n) * 100 + 0.5) END AS INT) AS lighter,
+def fixed_sql(x: str, places: int) -> str:
+    """The nearest decimal by the exact binary value; where two are as near, which only eighths can be, the larger."""
+    k = 10**places
+    tie = f"({x}) * 8 = floor(({x}) * 8) AND ({x}) * {2 * k} = floor(({x}) * {2 * k}) AND CAST(({x}) * {2 * k} AS BIGINT) % 2 = 1"
+    return f"format('{{:.{places}f}}', CASE WHEN {tie} THEN (floor(({x}) * {k}) + 1) / {k} ELSE ({x})::DOUBLE END)"
+
+
+SHOWN = "CASE WHEN v >= 100 THEN " + fixed_sql("v", 0) + " WHEN v >= 10 THEN " + fixed_sql("v", 1) + " ELSE " + fixed_sql("v", 2) + " END"
+#: Numbers of bytes of every size, many of them near the middle between two texts.
+SIZES = "SELECT event_id, CAST(floor(abs(value) * 997) AS BIGINT) * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1005 WHEN 2 THEN 1000125 ELSE 31 END + event_id % 7 * 5 AS n FROM {events} WHERE value IS NOT NULL"
+
+
+@query(f"""SELECT event_id, CASE WHEN n < 1000 THEN n || ' B' ELSE {SHOWN} || unit END AS shown, CAST(CASE WHEN n <= 0 OR n // 3 >= n THEN 0 ELSE floor((1 - (n // 3)::DOUBLE / n) * 100 + 0.5) END AS INT) AS lighter,
     (n // 60000) || ':' || lpad(CAST((n // 1000) % 60 AS VARCHAR), 2, '0') AS elapsed, CAST(ceil(n * 1.3684::DOUBLE + 524288) AS BIGINT) AS message,
     CAST(greatest(1, floor((round(least(70, greatest(5, n % 90)) * 1000000)::BIGINT - 524288) / 1.3684::DOUBLE)) AS BIGINT) AS budget, (77 * (n % 256) + 150 * (n % 199) + 29 * (n % 97) + 128) >> 8 AS luma
-    FROM (SELECT event_id, CAST(floor(abs(value) * 997) AS BIGINT) AS n FROM {events} WHERE value IS NOT NULL) e""")
+    FROM (SELECT event_id, n, CASE WHEN n < 1000000 THEN n / 1000.0::DOUBLE WHEN n < 1000000000 THEN n / 1000.0::DOUBLE / 1000 ELSE n / 1000.0::DOUBLE / 1000 / 1000 END AS v, CASE WHEN n < 1000000 THEN ' KB' WHEN n < 1000000000 THEN ' MB' ELSE ' GB' END AS unit FROM ({SIZES}) e) f""")
 def f1_f27_formats_and_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = base(spark, sf_dir, "SELECT event_id, CAST(floor(abs(value) * 997) AS BIGINT) AS n FROM {events} WHERE value IS NOT NULL")
-    n = F.col("n")
+    e, n = base(spark, sf_dir, SIZES), F.col("n")
     return e.select(
-        "event_id", F.when(n < 1000, scalars.format_bytes(n)).alias("small"), scalars.percent_lighter(n, F.floor(n / 3)).alias("lighter"), scalars.format_elapsed(n).alias("elapsed"),
+        "event_id", scalars.format_bytes(n).alias("shown"), scalars.percent_lighter(n, F.floor(n / 3)).alias("lighter"), scalars.format_elapsed(n).alias("elapsed"),
         scalars.message_bytes(n).alias("message"), scalars.custom_budget(n % 90).alias("budget"), scalars.luminance(n % 256, n % 199, n % 97).alias("luma"),
     )
 
@@ -320,7 +324,7 @@ def f28_bytes_at_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS median FROM {events} WHERE value IS NOT NULL GROUP BY 1")
 def a15_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir, "SELECT event_type, value FROM {events} WHERE value IS NOT NULL").groupBy("event_type").agg(evaluation.upper_median(F.col("value")).alias("median"))
+    return evaluation.upper_median(base(spark, sf_dir, "SELECT event_type, value FROM {events}"), ["event_type"], "value")
 
 
 @query("SELECT l_suppkey FROM {lineitem} GROUP BY 1 HAVING count(DISTINCT l_returnflag) = (SELECT count(DISTINCT l_returnflag) FROM {lineitem})")
@@ -338,7 +342,11 @@ def w1_w4_monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.monotone(base(spark, sf_dir, EVENTS)).na.fill(0, ["page"])
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT *, stage IS DISTINCT FROM lag(stage) OVER (PARTITION BY job_id ORDER BY ts_ms, seq) AS forced, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, seq) AS k FROM ({EVENTS}) x),
+    r AS (SELECT job_id, ts_ms, seq, k, forced, CAST(floor(max({FRACTION}) OVER (PARTITION BY job_id ORDER BY k ROWS UNBOUNDED PRECEDING) * 1000 + 0.5) AS BIGINT) AS permille FROM e),
+    w AS (SELECT job_id, k, ts_ms, seq, permille, true AS sent, ts_ms AS last FROM r WHERE k = 1 UNION ALL
+        SELECT r.job_id, r.k, r.ts_ms, r.seq, r.permille, r.forced OR r.ts_ms - w.last >= 80, CASE WHEN r.forced OR r.ts_ms - w.last >= 80 THEN r.ts_ms ELSE w.last END FROM w JOIN r ON r.job_id = w.job_id AND r.k = w.k + 1)
+    SELECT job_id, ts_ms, seq, permille FROM w WHERE sent""")
 def w2_throttled_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.throttled(progress.monotone(base(spark, sf_dir, EVENTS)))
 
@@ -348,13 +356,16 @@ def r4_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.stalls(base(spark, sf_dir, EVENTS), 3000)
 
 
-EDGES = "SELECT l_suppkey % 50 AS deck_id, l_partkey % 300 AS src, CASE WHEN l_linenumber = 7 THEN '/Parent' ELSE '/XObject' END AS \"key\", l_partkey % 300 + l_linenumber AS dst FROM {lineitem} WHERE l_partkey % 300 < 60"
+#: Pages' trees with shared nodes, cycles through keys that lead away, and loops.
+EDGES = """SELECT deck_id, src, "key", CASE WHEN "key" IN ('/Parent', '/Popup') THEN CAST(floor(src / 2) AS BIGINT) WHEN "key" = '/Font' THEN src * 7 % 300 ELSE least(299, src * 2 + n) END AS dst
+    FROM (SELECT l_suppkey % 50 AS deck_id, l_partkey % 300 AS src, l_linenumber AS n, CASE l_linenumber WHEN 7 THEN '/Parent' WHEN 6 THEN '/Popup' WHEN 5 THEN '/Font' ELSE '/XObject' END AS "key" FROM {lineitem}) e"""
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT deck_id, src, dst FROM ({EDGES}) x WHERE "key" <> '/Parent'), w AS (SELECT DISTINCT deck_id, src AS root, src AS ref FROM e WHERE src < 10 UNION SELECT w.deck_id, root, dst FROM w JOIN e ON e.deck_id = w.deck_id AND e.src = w.ref) SELECT * FROM w""")
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT deck_id, src, dst FROM ({EDGES}) x WHERE "key" NOT IN ('/Parent', '/Popup')), w AS (SELECT DISTINCT deck_id, src AS root, src AS ref FROM e WHERE src < 10 UNION SELECT w.deck_id, root, dst FROM w JOIN e ON e.deck_id = w.deck_id AND e.src = w.ref) SELECT * FROM w""")
 def g3_g6_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir, EDGES.replace('"key"', "key"))
-    return inventory.reachable(edges, edges.where("src < 10 AND key <> '/Parent'").select("deck_id", F.col("src").alias("root")), ("/Parent",))
+    roots = edges.where((F.col("src") < 10) & ~F.col("key").isin(*split.AWAY)).select("deck_id", F.col("src").alias("root"))
+    return inventory.reachable(edges, roots, split.AWAY)
 
 
 @query(f"SELECT deck_id, round(coalesce(s, 0) + greatest(0, file_bytes - coalesce(n, 0)) * 0.5::DOUBLE, 3) AS saving FROM ({FILES}) f LEFT JOIN (SELECT deck_id, sum(bytes * CASE WHEN filter = '/FlateDecode' THEN 0.05::DOUBLE ELSE 0 END) AS s, sum(bytes) AS n FROM ({{images}}) i GROUP BY 1) x USING (deck_id)")
@@ -389,11 +400,18 @@ def g2_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.inherited(base(spark, sf_dir, NODES)).select("deck_id", "ref", F.coalesce("value", F.lit(-1)).alias("value"))
 
 
-@query(f"""WITH p AS (SELECT image, family, setting, max(score) AS score FROM ({POINTS}) x GROUP BY 1, 2, 3), t AS (SELECT DISTINCT image, 60.0 AS target FROM p), m AS (SELECT family, setting, sum((score >= target)::INT) AS ok, count(*) AS have, avg(score - target) AS mean, min(score - target) AS worst FROM p JOIN t USING (image) GROUP BY 1, 2),
-    o AS (SELECT *, CASE WHEN family LIKE '% d' THEN -setting ELSE setting END AS o, (SELECT count(*) FROM t) AS n FROM m) SELECT family, coalesce(abs(min(CASE WHEN ok >= 0.05 * n THEN o END)), -1) AS fixed, coalesce(abs(min(CASE WHEN have = n AND mean >= 0 AND worst >= -3 THEN o END)), -1) AS even FROM o GROUP BY 1""")
+#: Every image at each of twelve settings of three encoders, some of which serve nine in ten.
+SERVED = """SELECT image, CASE f WHEN 0 THEN 'canvas q' WHEN 1 THEN 'jpegli d' ELSE 'mozjpeg q' END AS family, CAST(s AS DOUBLE) AS setting,
+    CAST(50 + CASE WHEN f = 1 THEN 13 - s ELSE s END * 1.5 + image * 7 % 11 * 0.5 - f AS DOUBLE) AS score
+    FROM (SELECT DISTINCT p_partkey % 40 AS image FROM {part}) p CROSS JOIN (SELECT 0 AS f UNION ALL SELECT 1 UNION ALL SELECT 2) g
+    CROSS JOIN (SELECT 1 AS s UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12) h"""
+
+
+@query(f"""WITH p AS (SELECT image, family, setting, max(score) AS score FROM ({SERVED}) x GROUP BY 1, 2, 3), t AS (SELECT DISTINCT image, 60.0::DOUBLE AS target FROM p), m AS (SELECT family, setting, sum((score >= target)::INT) AS ok, count(*) AS have, avg(score - target) AS mean, min(score - target) AS worst FROM p JOIN t USING (image) GROUP BY 1, 2),
+    o AS (SELECT *, CASE WHEN family LIKE '% d' THEN -setting ELSE setting END AS o, (SELECT count(*) FROM t) AS n FROM m) SELECT family, coalesce(abs(min(CASE WHEN ok >= 0.9 * n THEN o END)), -1) AS fixed, coalesce(abs(min(CASE WHEN have = n AND mean >= 0 AND worst >= -3 THEN o END)), -1) AS even FROM o GROUP BY 1""")
 def a16_a17_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = base(spark, sf_dir, POINTS).groupBy("image", "family", "setting").agg(F.max("score").alias("score"))
-    out = evaluation.settings_that_serve(p, p.select("image").distinct().withColumn("target", F.lit(60.0)), ["image"], hit_share=0.05)
+    p = base(spark, sf_dir, SERVED).groupBy("image", "family", "setting").agg(F.max("score").alias("score"))
+    out = evaluation.settings_that_serve(p, p.select("image").distinct().withColumn("target", F.lit(60.0)), ["image"])
     return out.select("family", F.coalesce("fixed", F.lit(-1.0)).alias("fixed"), F.coalesce("even", F.lit(-1.0)).alias("even"))
 
 
@@ -412,13 +430,6 @@ def f14_matrix_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", "l_linenumber", "l_partkey", F.round(scalars.matrix_scale(F.col("m")), 6).alias("scale"))
 
 
-@query("SELECT event_id, '/Im' || (event_id % 7) AS name, CAST(event_id % 50 + 1 AS DOUBLE) * 2 AS width, CAST(event_id % 30 + 1 AS DOUBLE) * 3 AS height FROM {events}")
-def g7_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "q 2 0 0 3 0 0 cm q ' || (event_id % 50 + 1) || ' 0 0 ' || (event_id % 30 + 1) || ' 10 20 cm (a (b) \\\\) c) Tj /Im' || (event_id % 7) || ' Do Q Q"
-    e = base(spark, sf_dir, f"SELECT event_id, CAST('{text}' AS BINARY) AS content FROM {{events}}")
-    return e.select("event_id", F.explode(content.placements_column(F.col("content"))).alias("p")).select("event_id", "p.name", "p.width", "p.height")
-
-
 @query("SELECT event_id, (event_id % 90 + 1) || '.1 ' || (event_id % 70 + 1) || '.2 m S' AS path FROM {events}")
 def o3_round_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base(spark, sf_dir, "SELECT event_id, CAST((event_id % 90 + 1) || '.1000 ' || (event_id % 70 + 1) || '.2000 m S' AS BINARY) AS content FROM {events}")
@@ -466,8 +477,10 @@ def a10_lightest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.lightest(i).withColumn("measured", F.coalesce("measured", F.lit(-1)))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id, value) AS k FROM {events} WHERE value IS NOT NULL),
+    w AS (SELECT user_id, k, value::DOUBLE AS speed FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, w.speed * 0.7::DOUBLE + e.value * 0.3::DOUBLE FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.k = w.k + 1)
+    SELECT user_id, round(arg_max(speed, k), 6) AS speed FROM w GROUP BY 1""")
 def a21_running_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base(spark, sf_dir, "SELECT user_id, event_id, value FROM {events} WHERE value IS NOT NULL")
     per = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return per.select("user_id", measures.running_speed(F.col("v")).alias("speed"))
+    return per.select("user_id", F.round(measures.running_speed(F.col("v")), 6).alias("speed"))

@@ -7,28 +7,35 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import containers, scalars, wording
 from quirefold.operators import evaluation, flatten, inventory, ladder, measures, placing, split
-from quirefold.plans.catalogue import BUDGETS, HULL, IMAGES, PAGES, PLACED, PLANS, POINTS, PREDICTED, VERSIONS, base, plans_of, query, totals_of, versions_of
+from quirefold.plans.catalogue import BUDGETS, HULL, IMAGES, PAGES, PLACED, PLANS, POINTS, PREDICTED, SIZES, VERSIONS, base, fixed_sql, plans_of, query, totals_of, versions_of
 from quirefold.streaming import progress
 
 EVENTS = "SELECT event_id, user_id, event_type, value, CAST(floor(abs(value) * 997) AS BIGINT) AS n FROM {events} WHERE value IS NOT NULL"
 
 
-@query(f"""SELECT event_id, CASE WHEN n < 1000 THEN n || ' ms' ELSE CAST(CAST(floor(n / 100) AS BIGINT) // 10 AS VARCHAR) || '.' || (n // 100) % 10 || ' s' END AS duration,
-    CASE WHEN n < 1000 THEN n || chr(160) || 'B' WHEN n < 1000000 THEN greatest(1, floor(n / 1000.0 + 0.5)::BIGINT) || chr(160) || 'KB' END AS size
-    FROM (SELECT event_id, n - n % 100 + 1 AS n FROM ({EVENTS}) a WHERE n >= 1 AND n < 999000) e""")
+@query(f"""SELECT event_id, CASE WHEN n < 1000 THEN greatest(1, n) || ' ms' ELSE {fixed_sql("n / 1000.0::DOUBLE", 1)} || ' s' END AS duration,
+    CASE WHEN n < 1000 THEN n || chr(160) || 'B' WHEN n < 1000000 THEN greatest(1, floor(n / 1000.0::DOUBLE + 0.5)::BIGINT) || chr(160) || 'KB'
+        WHEN n >= 100000000 THEN floor(n / 1000000.0::DOUBLE + 0.5)::BIGINT || chr(160) || 'MB' ELSE regexp_replace({fixed_sql("n / 1000000.0::DOUBLE", 1)}, '\\.0$', '') || chr(160) || 'MB' END AS size
+    FROM ({SIZES}) e""")
 def f2_f3_duration_and_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = base(spark, sf_dir, EVENTS).where("n >= 1 AND n < 999000").withColumn("n", F.col("n") - F.col("n") % 100 + 1)
+    e = base(spark, sf_dir, SIZES)
     return e.select("event_id", scalars.format_duration(F.col("n")).alias("duration"), scalars.format_size(F.col("n")).alias("size"))
 
 
-@query("SELECT p_partkey, p_name AS deck, p_partkey AS ref, CAST(NULL AS BIGINT) AS no_ref, p_name AS shown, p_name AS plain FROM {part}")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'my deck' ELSE p_name || CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '.pdf.x' END END AS deck, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS ref,
+    replace(p_name, ' ', '#') || chr(CAST(33 + p_partkey % 90 AS INT)) AS shown, p_name || chr(CAST(161 + p_partkey % 90 AS INT)) AS plain FROM {part}""")
 def f6_f12_names_and_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names with and without an ending, references and what is none, names whose signs are all escaped, in both cases, and Latin-1 text."""
     p = base(spark, sf_dir, "SELECT p_partkey, p_name FROM {part}")
-    name = F.col("p_name")
+    name, k = F.col("p_name"), F.col("p_partkey")
+    file = F.when(k % 3 == 0, " .PDF").when(k % 3 == 1, F.concat(name, F.lit(" .Pdf"))).otherwise(F.concat(name, F.lit(".pdf.x")))
+    sign = F.lower(F.lpad(F.hex(33 + k % 90), 2, "0"))
+    escaped = F.concat(F.array_join(F.transform(F.split(name, " "), lambda w: F.regexp_replace(w, "e", "#65")), "#23"), F.lit("#"), F.when(k % 2 == 0, F.upper(sign)).otherwise(sign))
+    latin = F.concat(F.lit("b:"), F.hex(name.cast("binary")), F.hex(161 + k % 90))
     return p.select(
-        "p_partkey", scalars.deck_name(F.concat(name, F.lit(".PDF"))).alias("deck"), scalars.ref_number(F.concat(F.col("p_partkey").cast("string"), F.lit(" 0 R"))).alias("ref"),
-        scalars.ref_number(name).alias("no_ref"), containers.decode_name(F.regexp_replace(name, "[ e]", "#20")).alias("shown"), scalars.decode_pdf_string(F.concat(F.lit("b:"), F.hex(name.cast("binary")))).alias("plain"),
-    ).withColumn("shown", F.when(F.col("shown") == F.regexp_replace("deck", "e", " "), F.col("deck")))
+        "p_partkey", scalars.deck_name(file).alias("deck"), scalars.ref_number(F.concat(k.cast("string"), F.when(k % 2 == 0, " 0 R").otherwise(" 0 obj"))).alias("ref"),
+        containers.decode_name(escaped).alias("shown"), scalars.decode_pdf_string(latin).alias("plain"),
+    )
 
 
 @query("""SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN w > 0 AND h > 0 THEN w ELSE 500 END AS width, CASE WHEN w > 0 AND h > 0 THEN h ELSE 700 END AS height
@@ -40,10 +47,10 @@ def f17_page_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.width", "b.height").distinct()
 
 
-@query("SELECT event_id, round(0.1::DOUBLE + (100 - event_id % 101)::DOUBLE * 0.09::DOUBLE, 6) AS distance, CASE WHEN q < 50 THEN least(255, greatest(1, floor((16 * 5000.0::DOUBLE / q + 50) / 100))) ELSE least(255, greatest(1, floor((16 * (200.0::DOUBLE - q * 2) + 50) / 100))) END::INT AS first FROM (SELECT event_id, greatest(1, event_id % 101) AS q FROM {events}) e")
+@query("SELECT event_id, round(0.1::DOUBLE + (100 - event_id % 101)::DOUBLE * 0.09::DOUBLE, 6) AS distance, array_to_string(list_transform([{cells}], lambda v: CAST(least(255, greatest(1, floor((v * CASE WHEN q < 50 THEN 5000.0::DOUBLE / q ELSE 200.0::DOUBLE - q * 2 END + 50) / 100))) AS INT)), ',') AS cells FROM (SELECT event_id, greatest(1, event_id % 101) AS q FROM {events}) e".replace("{cells}", ", ".join(map(str, containers.LUMINANCE))))
 def f22_f23_distance_and_quantisers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base(spark, sf_dir, "SELECT event_id, CAST(event_id % 101 AS DOUBLE) / 100 AS q FROM {events}")
-    return e.select("event_id", F.round(containers.distance_of(F.col("q")), 6).alias("distance"), containers.gray_quantisers(F.col("q"))[0].alias("first"))
+    return e.select("event_id", F.round(containers.distance_of(F.col("q")), 6).alias("distance"), F.array_join(F.transform(containers.gray_quantisers(F.col("q")), lambda v: v.cast("string")), ",").alias("cells"))
 
 
 @query("SELECT page_id, 8 + page_id % 60000 AS width, 16 + page_id % 900 AS height, true AS lighter, true AS alike FROM {pages}")
@@ -78,17 +85,17 @@ def f29_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", evaluation.family(label).alias("family"), evaluation.setting(label).alias("setting"))
 
 
-@query(r"SELECT page_id, regexp_replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g') AS shown FROM (SELECT page_id, '**' || left(url, 12) || '** ' || left(html, 400) AS html FROM {pages} WHERE html IS NOT NULL AND url IS NOT NULL) p".replace('\\"', '"'))
+@query(r"SELECT page_id, regexp_replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g') AS shown FROM (SELECT page_id, '**' || url || '** ' || html AS html FROM {pages} WHERE html IS NOT NULL AND url IS NOT NULL) p".replace('\\"', '"'))
 def f30_inline_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = base(spark, sf_dir, "SELECT page_id, url, html FROM {pages} WHERE html IS NOT NULL AND url IS NOT NULL")
-    return p.select("page_id", wording.inline(F.concat(F.lit("**"), F.left("url", F.lit(12)), F.lit("** "), F.left("html", F.lit(400)))).alias("shown"))
+    return p.select("page_id", wording.inline(F.concat(F.lit("**"), F.col("url"), F.lit("** "), F.col("html"))).alias("shown"))
 
 
 @query("""SELECT event_id, CASE WHEN k = 11 OR k = 18 OR k // 10 = 8 OR k = 8 THEN 'an ' ELSE 'a ' END || k || chr(160) || 'MB limit' AS mailbox, k || CASE WHEN k = 1 THEN ' photo' ELSE ' photos' END AS photos,
     CASE k WHEN 0 THEN 'none' WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' WHEN 4 THEN 'four' WHEN 5 THEN 'five' WHEN 6 THEN 'six' ELSE CAST(k AS VARCHAR) END AS word,
-    CASE WHEN k % 3 = 0 THEN 'a' WHEN k % 3 = 1 THEN 'a and b' ELSE 'a, b and c' END AS items FROM (SELECT event_id, event_id % 90 AS k FROM {events} WHERE event_id % 90 > 0) e""")
+    CASE WHEN k % 3 = 0 THEN 'a' WHEN k % 3 = 1 THEN 'a and b' ELSE 'a, b and c' END AS items FROM (SELECT event_id, event_id % 90 + 1 AS k FROM {events}) e""")
 def f31_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = base(spark, sf_dir, "SELECT event_id, event_id % 90 AS k FROM {events} WHERE event_id % 90 > 0")
+    e = base(spark, sf_dir, "SELECT event_id, event_id % 90 + 1 AS k FROM {events}")
     k = F.col("k")
     items = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (k % 3 + 1).cast("int"))
     return e.select("event_id", wording.mailbox_name(F.lit("custom"), k * 1_000_000).alias("mailbox"), wording.plural(k, "photo", "photos").alias("photos"), wording.number_word(k).alias("word"), wording.listed(items).alias("items"))
@@ -261,10 +268,10 @@ def p18_image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans_of(spark, sf_dir).where("rung = 2").groupBy("deck_id").agg(F.count_if(resized).alias("resized"), F.count_if(~resized & saved).alias("resaved"), F.count_if(~resized & ~saved).alias("untouched"))
 
 
-@query(f"SELECT deck_id, page, page_width::DOUBLE AS page_width FROM (SELECT deck_id, page, page_width FROM ({PAGES}) p WHERE deck_id % 2 = 0) x")
+@query(f"SELECT deck_id, page, page_width::DOUBLE AS page_width FROM (SELECT deck_id, page, page_width FROM ({PAGES}) p) x")
 def s13_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round trip through JSON lines, blank lines among them skipped."""
-    rows = base(spark, sf_dir, PAGES).where("deck_id % 2 = 0")
+    rows = base(spark, sf_dir, PAGES)
     lines = rows.select(F.to_json(F.struct("deck_id", "page", F.col("page_width").cast("double").alias("page_width"))).alias("line")).withColumn("line", F.explode(F.array("line", F.lit(""))))
     kept = lines.where(F.trim("line") != "")
     return kept.select(F.from_json("line", "deck_id long, page long, page_width double").alias("j")).select("j.*")

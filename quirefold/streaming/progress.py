@@ -52,11 +52,31 @@ def throttled(events: DataFrame) -> DataFrame:
     return per.select("job_id", F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("x")).select("job_id", "x.ts_ms", "x.seq", "x.permille")
 
 
-def stalls(events: DataFrame, gap_ms: int = STALL_MS) -> DataFrame:
-    """job_id, after_ms, gap: where a job was silent for longer than the watchdog allows."""
+def stalls(events: DataFrame, gap_ms: int = STALL_MS, hidden: DataFrame | None = None) -> DataFrame:
+    """job_id, after_ms, gap: where a job was silent for longer than the watchdog allows.
+
+    hidden: job_id, from_ms, to_ms of times when nobody could see it, which do not overlap; they do not count as silence.
+    """
     order = Window.partitionBy("job_id").orderBy("ts_ms", "seq")
     gap = F.col("ts_ms") - F.lag("ts_ms").over(order)
-    return events.withColumn("gap", gap).where(F.col("gap") > gap_ms).select("job_id", (F.col("ts_ms") - F.col("gap")).alias("after_ms"), "gap")
+    out = events.withColumn("gap", gap).where(F.col("gap") > gap_ms).select("job_id", "seq", (F.col("ts_ms") - F.col("gap")).alias("after_ms"), "gap")
+    if hidden is not None:
+        away = hidden.select(F.col("job_id").alias("j"), "from_ms", "to_ms")
+        both = out.join(away, (F.col("job_id") == F.col("j")) & (F.col("from_ms") < F.col("after_ms") + F.col("gap")) & (F.col("to_ms") > F.col("after_ms")), "left")
+        unseen = F.greatest(F.lit(0), F.least("to_ms", F.col("after_ms") + F.col("gap")) - F.greatest("from_ms", "after_ms"))
+        out = both.groupBy("job_id", "seq", "after_ms", "gap").agg(F.coalesce(F.sum(unseen), F.lit(0)).alias("away")).withColumn("gap", F.col("gap") - F.col("away")).where(F.col("gap") > gap_ms)
+    return out.select("job_id", "after_ms", "gap")
+
+
+def current_only(events: DataFrame, current: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """events (keys, version, ...) of the version that is current (keys, version); those of an older job are stale. Events may be a stream."""
+    now = current.select(*keys, F.col(version).alias("__now"))
+    return events.join(now, keys).where(F.col(version) == F.col("__now")).drop("__now")
+
+
+def continued(fraction_: Column, start: Column) -> Column:
+    """A second pass's own fraction as that of the whole job, which the first pass left at ``start``."""
+    return F.greatest(start, start + (1 - start) * fraction_)
 
 
 def stream(events: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from helpers import compare
 
-from quirefold.plans import lookups  # noqa: F401 (registers its queries)
+from quirefold.plans import decks, lookups  # noqa: F401 (they register their queries)
 from quirefold.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -101,7 +101,15 @@ def test_formats(spark):
 
 
 def test_content():
-    assert content.placements(b"q 2 0 0 3 0 0 cm /F Do Q /I Do", {"/F": b"10 0 0 10 0 0 cm /J Do /F Do"}) == [("/J", 20.0, 30.0), ("/I", 1.0, 1.0)]
+    image, names = {"subtype": "/Image"}, {"/F": "f", "/I": "i", "/J": "j"}
+    form = lambda content, matrix=None, own=None: {"subtype": "/Form", "matrix": matrix, "names": own, "content": content}
+    run = lambda page, f: content.placements([page], names, {"f": f, "i": image, "j": image})
+    assert run(b"q 2 0 0 3 0 0 cm /F Do Q /I Do", form(b"10 0 0 10 0 0 cm /J Do /F Do")) == ([("j", 20.0, 30.0), ("i", 1.0, 1.0)], {"f": 3.0})
+    assert run(b"2 0 0 2 0 0 cm /F Do", form(b"Q /J Do"))[0] == [("j", 2.0, 2.0)]  # a Q too many leads back to where the form began
+    assert run(b"2 0 0 2 0 0 cm /F Do", form(b"/J Do", [3, 0, 0, 5, 0, 0], {"/J": "i"})) == ([("i", 6.0, 10.0)], {"f": 10.0})
+    assert run(b"/F Do", form(None)) is None and content.placements([None], names, {}) is None and run(b"/X Do", form(None)) == ([], {})
+    chain = {str(n): form(b"/N Do", None, {"/N": str(n + 1)}) for n in range(30)}
+    assert content.placements([b"/N Do"], {"/N": "0"}, chain) is None and content.placements([b"/N Do"], {"/N": "0"}, {k: v for k, v in chain.items() if int(k) < 10}) is not None
     assert content.events(b"BI /W 1 ID q Q \x00 EI q (a\\) Do) Tj") == [("q", None, None)]
     assert content.round_paths(b"1.2345 0.5000 m 1 2 3 l", 1.0) == b"1.2 .5 m 1 2 3 l"
     assert content.round_paths(b"1 2 m", 1.0) is None
@@ -132,3 +140,87 @@ def test_stream_never_falls(spark, tmp_path):
     q = progress.stream(events).writeStream.format("memory").queryName("sent").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["ts_ms"], r["permille"]) for r in spark.sql("SELECT * FROM sent ORDER BY ts_ms").collect()] == [(0, 40), (100, 60), (120, 470), (300, 470)]
+
+
+def plain_fill(images, at, fitted, budget, drift):
+    """Brute force: of all moves that are open the cheapest, one at a time; a second time with a lower target."""
+
+    def fill(target):
+        now, total, stuck, moved = {r: at for r in images}, fitted, set(), 0
+        while True:
+            ways = []
+            for r, (own, cover, stored) in images.items():
+                have = stored.get(now[r], (own, None))
+                to = next((k for k in range(now[r] - 1, -1, -1) if k in stored and stored[k][1] != have[1]), None)
+                if r not in stuck and to is not None:
+                    ways.append(((stored[to][0] - have[0]) / ((now[r] - to) * cover), r, to, stored[to][0] - have[0]))
+            if not ways:
+                return now, total, moved
+            _, r, to, extra = min(ways)
+            if total + extra > target:
+                stuck.add(r)
+            else:
+                now[r], total, moved = to, total + extra, moved + 1
+
+    for target in (budget * 0.985, budget * 0.985 - drift):
+        now, total, moved = fill(target)
+        if not moved:
+            break
+        if total + drift <= budget:
+            return now, moved, total + drift
+    return {r: at for r in images}, 0, fitted
+
+
+def test_filling_equals_one_move_at_a_time(spark):
+    rng, versions, images, decks, expected = random.Random(8), [], [], [], {}
+    for deck in range(80):
+        own, at = {}, rng.randint(1, 5)
+        for ref in range(rng.randint(1, 6)):
+            stored = {k: (rng.randint(100, 4000) if rng.random() < 0.3 else 4000 - k * 500 + rng.randint(0, 400), rng.choice("abcdef")) for k in range(6) if rng.random() < 0.75}
+            own[ref] = (rng.randint(2000, 5000), rng.choice((0.01, 0.5, 1.0, 3.0)), stored)
+            images.append((deck, ref, *own[ref][:2]))
+            versions += [(deck, ref, k, *v) for k, v in stored.items()]
+        fitted = float(sum(v[2].get(at, (v[0],))[0] for v in own.values()) + 100)
+        budget, drift = fitted * rng.uniform(1.0, 2.5), rng.choice((0.0, 0.0, fitted * 0.05, fitted))
+        decks.append((deck, at, fitted, budget, drift))
+        expected[deck] = plain_fill(own, at, fitted, budget, drift)
+    found = ladder.fill_budget(
+        spark.createDataFrame(versions, "deck_id long, ref long, rung int, bytes long, version string"), spark.createDataFrame(images, "deck_id long, ref long, bytes long, coverage double"),
+        spark.createDataFrame(decks, "deck_id long, at int, fitted_bytes double, budget double, drift double"),
+    ).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["deck_id"], ({}, r["moved"], round(r["bytes"], 6)))[0][r["ref"]] = r["rung"]
+    assert got == {d: (n, m, round(b, 6)) for d, (n, m, b) in expected.items()}
+    assert sum(m > 0 for _, m, _ in got.values()) > 20
+
+
+def test_searches():
+    from math import log
+
+    from quirefold.functions import searching
+
+    rng = random.Random(9)
+    for _ in range(300):
+        at, slope, weight = rng.uniform(60, 95), rng.uniform(-30, -4), rng.uniform(1e4, 1e6)
+        measure = lambda d: (weight * d ** -0.7, at + slope * log(d))  # noqa: E731, B023
+        target, guess = rng.uniform(55, 90), rng.uniform(0.5, 4)
+        found, steps = searching.search(measure, target, guess)
+        assert 1 <= steps <= 6 and 0.25 <= found.distance <= 8 and (found.size, found.score) == measure(found.distance)
+        if measure(0.25)[1] >= target + 1 and measure(8)[1] < target:
+            assert found.score >= target and found.score - target <= 2.5
+        cap, start = weight * rng.uniform(0.05, 0.9), (0.5, measure(0.5)[0])
+        if start[1] > cap:
+            under = searching.fit_under(lambda d: measure(d)[0], cap, start)  # noqa: B023
+            assert under is None or under[1] <= cap
+            assert (under is not None) or measure(25)[0] > cap
+    curve = searching.on_curve([(1.0, 100.0, 90.0), (2.0, 50.0, 80.0)])
+    assert curve(0.5) == (100.0, 90.0) and curve(3.0) == (50.0, 80.0) and abs(curve(2**0.5)[0] - 5000**0.5) < 1e-9
+    assert searching.written(curve, 85.0, 1.5, 50, 5, None) == ("table", 1.5, curve(1.5)[0])
+    assert searching.written(curve, 85.0, 1.5, 10_000, 100, (10.0, 99.0)) == ("today", None, 10.0)
+    assert searching.written(curve, 85.0, 1.5, 10_000, 100, None)[0] == "search"
+
+
+def test_formats_of_exact_halves(spark):
+    rows = spark.createDataFrame([(1_005_000,), (1_045,), (1_125,), (12_250,), (2_675,), (999_999,), (100_500,), (5_000_000_000,)], "n long")
+    assert [r[0] for r in rows.select(scalars.format_bytes(F.col("n"))).collect()] == ["1.00 MB", "1.04 KB", "1.13 KB", "12.3 KB", "2.67 KB", "1000 KB", "101 KB", "5.00 GB"]
