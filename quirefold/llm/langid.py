@@ -1,4 +1,4 @@
-"""Language identification in two steps: first the family, then one-versus-one linear SVMs between its languages.
+"""Language identification in two steps: first the family, by a linear SVM of each against the others, then one-versus-one linear SVMs between its languages.
 
 Features are the counts of letter trigrams (bytes of the lower-cased text, all else as one space), hashed and scaled to
 their share of the text. The models are fitted on a bounded, documented sample of the labelled rows; every text is scored whole.
@@ -11,16 +11,18 @@ from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bound_batches
+from quirefold.llm.common import bound_batches, materialise
 
 CELLS = 1 << 14
 #: Rows for each language that the models are fitted on: at most this many, those with the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 400
-MOST_LANGUAGES = 64
+#: For each row of a family, so many rows of other families, at most, tell it from them.
+OTHERS = 4
 
 # Language families by ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -57,44 +59,40 @@ def cells_of(text: str) -> np.ndarray:
     return (gram * np.uint32(2654435761) >> np.uint32(18)).astype(np.int64)
 
 
-def features(cells: np.ndarray) -> np.ndarray:
-    x = np.sqrt(np.bincount(cells, minlength=CELLS).astype(np.float32))
-    return x / max(float(np.linalg.norm(x)), 1e-9)
+def features(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that occur, and the roots of their counts scaled to length 1."""
+    count = np.bincount(cells, minlength=CELLS)
+    some = np.flatnonzero(count)
+    x = np.sqrt(count[some].astype(np.float32))
+    return some, x / max(float(np.linalg.norm(x)), 1e-9)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and offset by dual coordinate descent with the hinge loss; y is +1 or -1."""
-    n, rng = len(x), np.random.default_rng(0)
-    x = np.hstack([x, np.ones((n, 1), dtype=np.float32)])
-    w, alpha, square = np.zeros(x.shape[1], dtype=np.float32), np.zeros(n), (x * x).sum(axis=1)
+def linear_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
+    """Weights of the cells and, last, the offset by dual coordinate descent with the hinge loss; rows are (cells, values), y is +1 or -1."""
+    rng, w, alpha = np.random.default_rng(0), np.zeros(CELLS + 1, dtype=np.float32), np.zeros(len(rows))
+    rows = [(np.append(c, CELLS), np.append(v, np.float32(1))) for c, v in rows]
+    square = np.array([float(v @ v) for _, v in rows])
     for _ in range(rounds):
-        for i in rng.permutation(n):
-            grad = y[i] * float(x[i] @ w) - 1
+        for i in rng.permutation(len(rows)):
+            cells, values = rows[i]
+            grad = y[i] * float(values @ w[cells]) - 1
             new = min(max(alpha[i] - grad / square[i], 0.0), cost)
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w[cells] += np.float32((new - alpha[i]) * y[i]) * values
                 alpha[i] = new
-    return w[:-1].astype(np.float64), float(w[-1])
-
-
-def one_versus_one(x: np.ndarray, names: list[str]) -> list[tuple[str, str, np.ndarray, float]]:
-    out = []
-    for a, b in combinations(sorted(set(names)), 2):
-        rows = np.array([i for i, n in enumerate(names) if n in (a, b)])
-        y = np.array([1.0 if names[i] == a else -1.0 for i in rows])
-        out.append((a, b, *linear_svm(x[rows], y)))
-    return out
+    return w
 
 
 def sample_rows(train: DataFrame, per_language: int) -> DataFrame:
-    """doc_id, text, lang of the rows to fit on: of each of the 64 commonest languages those with the smallest hashes of their id.
+    """doc_id, text, lang of the rows to fit on: of each language those with the smallest hashes of their id.
 
     Rows without an id, a language or a letter take no part; repeated rows count once. Fewer rows than asked for
     come only where repeated rows make up more than half of a language.
     """
     known = train.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    names = known.groupBy("lang").count().orderBy("lang").collect()
     # A hash lies below twice the share that is asked for with about twice as many rows: only those are ranked, however common a language is.
+    # One entry a language is all that the driver and the plan hold.
     share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(2.0 * per_language / r["count"])) for r in names)) if names else F.lit(None)
     at = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
     near = known.where(at < share[F.col("lang")]) if names else known
@@ -102,68 +100,96 @@ def sample_rows(train: DataFrame, per_language: int) -> DataFrame:
     ranked = near.select("doc_id", "lang", F.xxhash64("text").alias("t")).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")))
     chosen = ranked.where(F.col("r") <= per_language)
     ids = chosen.select(F.col("doc_id").alias("__d"), F.col("lang").alias("__l"), F.col("t").alias("__t"))
+    # At most ``per_language`` ids a language.
     found = known.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("__d")) & (F.col("lang") == F.col("__l")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
     return found.dropDuplicates(["doc_id", "text", "lang"])
 
 
-def fit(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
-    """Models from rows of ``doc_id, text, lang``: those between families, and those between the languages of each.
-
-    Fitted on at most ``per_language`` rows a language that have a letter, and at most the 64 commonest languages.
-    The texts become sparse counts where they lie; the driver sees those alone.
-    """
+def sparse_rows(sample: DataFrame) -> DataFrame:
+    """lang, family, h (a hash of the row), cells and values of the sampled texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(n, *np.unique(cells_of(t), return_counts=True)) for n, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if has_letter(t)]
+            found = [(n, h, *features(cells_of(t))) for n, h, t in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                ["lang", "cells", "counts"],
-            )
+                [pa.array([r[0] for r in found], pa.string()), pa.array([FAMILY_OF.get(r[0], r[0]) for r in found], pa.string()), pa.array([r[1] for r in found], pa.int64()),
+                 pa.array([r[2] for r in found], pa.list_(pa.int32())), pa.array([r[3] for r in found], pa.list_(pa.float32()))],
+                ["lang", "family", "h", "cells", "values"],
+            )
+
+    rows = sample.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    return rows.mapInArrow(count, "lang string, family string, h long, cells array<int>, values array<float>")
 
-    rows = sample_rows(train, per_language)
-    found = rows.select("lang", "text").mapInArrow(count, "lang string, cells array<long>, counts array<long>").toPandas()
-    found["cells"], found["counts"] = found["cells"].map(np.asarray), found["counts"].map(np.asarray)
-    found["k"] = [(len(c), int(c.sum()), int(n.sum())) for c, n in zip(found["cells"], found["counts"], strict=True)]
-    found = found.sort_values(["lang", "k"], kind="stable").reset_index(drop=True)
-    x = np.zeros((len(found), CELLS), dtype=np.float32)
-    for i, (cells, counts) in enumerate(zip(found["cells"], found["counts"], strict=True)):
-        v = np.sqrt(counts.astype(np.float32))
-        x[i, cells.astype(np.int64)] = v / max(float(np.linalg.norm(v)), 1e-9)
-    langs = found["lang"].tolist()
-    family = [FAMILY_OF.get(n, n) for n in langs]
-    model: dict = {"families": sorted(set(family)), "between": one_versus_one(x, family), "within": {}, "languages": {}}
-    for f in model["families"]:
-        rows = np.array([i for i, g in enumerate(family) if g == f])
-        own = [langs[i] for i in rows]
-        model["languages"][f] = sorted(set(own))
-        model["within"][f] = one_versus_one(x[rows], own)
+
+def fit(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, others: int = OTHERS) -> dict:
+    """Models from rows of ``doc_id, text, lang``: each family against the others, and each pair of languages within a family.
+
+    Fitted on at most ``per_language`` rows a language that have a letter; a family meets at most ``others`` times ``per_language`` rows of the other
+    families, drawn by hash. Every labelled language is learned. Each model is fitted in a task of its own, from sparse rows; the driver sees the
+    weights alone, one vector a family and one a pair of languages of the same family.
+    """
+    rows = materialise(sparse_rows(sample_rows(train, per_language)), "sample")
+    seen = rows.groupBy("family", "lang").count().collect()
+    languages: dict[str, list[str]] = {}
+    for r in sorted(seen, key=lambda r: (r["family"], r["lang"])):
+        languages.setdefault(r["family"], []).append(r["lang"])
+    families, total = sorted(languages), sum(r["count"] for r in seen)
+    model: dict = {"families": families, "languages": languages, "pairs": {f: list(combinations(own, 2)) for f, own in languages.items()}}
+    if not families:
+        return model
+    # A row stands for its own family, and against those others whose draw it is in.
+    own = {f: sum(r["count"] for r in seen if r["family"] == f) for f in families}
+    drawn = [F.when((F.col("family") == f) | (F.pmod(F.xxhash64("h", F.lit(f)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, others * per_language / max(1, total - own[f])))), F.lit(f)) for f in families]
+    between = rows.select(F.explode(F.array_compact(F.array(*drawn))).alias("a"), F.lit("").alias("b"), "family", "lang", "h", "cells", "values")
+    between = between.withColumn("y", F.when(F.col("family") == F.col("a"), 1.0).otherwise(-1.0))
+    pairs = [(a, b, n, y) for f in families for a, b in model["pairs"][f] for n, y in ((a, 1.0), (b, -1.0))]
+    tasks = between.select("a", "b", "h", "cells", "values", "y")
+    if pairs:
+        sides = train.sparkSession.createDataFrame(pairs, "a string, b string, lang string, y double")
+        tasks = tasks.unionByName(rows.join(F.broadcast(sides), "lang").select("a", "b", "h", "cells", "values", "y"))
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["h", "y"], kind="stable")
+        w = linear_svm([(np.asarray(c), np.asarray(v, dtype=np.float32)) for c, v in zip(frame["cells"], frame["values"], strict=True)], frame["y"].to_numpy())
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "w": [w.tobytes()]})
+
+    found = {(r["a"], r["b"]): np.frombuffer(r["w"], dtype=np.float32) for r in tasks.groupBy("a", "b").applyInPandas(one, "a string, b string, w binary").collect()}
+    order = [(f, "") for f in families] + [p for f in families for p in model["pairs"][f]]
+    model["weights"] = np.stack([found[k] for k in order], axis=1)  # cells x models, the offsets last
+    model["at"] = {k: i for i, k in enumerate(order)}
     return model
 
 
-def vote(x: np.ndarray, names: list[str], models: list[tuple[str, str, np.ndarray, float]]) -> tuple[str, float]:
+def sure(margin: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(2 * margin, -30, 30))))
+
+
+def vote(margins: np.ndarray, names: list[str], pairs: list[tuple[str, str]], at: dict) -> tuple[str, float]:
     """The name with the most votes, ties by summed margins then by name; and its least probability against another."""
     if len(names) == 1:
         return names[0], 1.0
     votes, margin, least = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
-    for a, b, w, c in models:
-        m = float(x @ w) + c
+    for a, b in pairs:
+        m = float(margins[at[a, b]])
         votes[a if m >= 0 else b] += 1
         margin[a] += m
         margin[b] -= m
-        p = 1 / (1 + np.exp(-np.clip(2 * m, -30, 30)))
-        least[a], least[b] = min(least[a], float(p)), min(least[b], float(1 - p))
+        least[a], least[b] = min(least[a], sure(m)), min(least[b], sure(-m))
     best = max(names, key=lambda n: (votes[n], margin[n], n))
     return best, least[best]
 
 
 def predict(text: str | None, model: dict) -> tuple[str, float]:
+    """The family whose model is surest, then the language of it that wins most of its pairs; and how sure both are, of 0 to 1."""
     if not has_letter(text) or not model["families"]:
         return "und", 0.0
-    x = features(cells_of(text)).astype(np.float64)
-    family, p = vote(x, model["families"], model["between"])
-    lang, q = vote(x, model["languages"][family], model["within"][family])
-    return lang, p * q
+    cells, values = features(cells_of(text))
+    weights = model["weights"]
+    margins = values @ weights[cells] + weights[-1]
+    best = int(np.argmax(margins[: len(model["families"])]))
+    family = model["families"][best]
+    lang, p = vote(margins, model["languages"][family], model["pairs"][family], model["at"])
+    return lang, p * (sure(float(margins[best])) if len(model["families"]) > 1 else 1.0)
 
 
 def identify_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -68,7 +68,7 @@ ORACLES = {
     WITH fine AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
-            list_sum(list_transform(list_zip(q.e[1:64], c.e[1:64]), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END))::INT AS distance
+            list_sum(list_transform(list_zip(q.e, c.e), lambda p: CASE WHEN coalesce(p[1] > 0, false) <> coalesce(p[2] > 0, false) THEN 1 ELSE 0 END))::INT AS distance
         FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
     SELECT query_id, CAST(rank AS INT) AS rank, vec_id, distance
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10""",

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small fixtures with nulls, ties, repeats, empty tables and foreign columns."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -264,6 +265,15 @@ def test_hamming(spark):
         assert found[q] == sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:10]
     few = spark.createDataFrame(rows[:3], "id long, code long")
     assert hamming.search(few, few).count() == 6
+    long = [(i, [rng.gauss(0, 1) for _ in range(150)]) for i in range(120)] + [(200, [1.0] * 40), (201, None), (202, [None] * 150)]
+    long += [(300 + i, [-x if j == i else x for j, x in enumerate(long[7][1])]) for i in range(5)]
+    codes = hamming.sign_codes(spark.createDataFrame(long, "vec_id long, embedding array<double>"))
+    found = defaultdict(list)
+    for r in hamming.search(codes, codes).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["distance"], r["vec_id"]))
+    signs = {i: [v[j] > 0 if j < len(v) else False for j in range(192)] for i, v in long if v and v[0] is not None}
+    for q, s in signs.items():
+        assert found[q] == sorted((sum(a != b for a, b in zip(s, t)), i) for i, t in signs.items() if i != q)[:10]
     assert hamming.search(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -406,6 +416,16 @@ def test_licences(spark):
     rows = [(1, text, "c"), (2, "Some prose.\nreleased under the  MIT Licence!\nMore.", "c"), (3, None, "c"), (4, "", "c"), (5, "prose " * 50_000, "c"), (5, "x", "c"), (5, "x", "c")]
     found = [tuple(r)[0:1] + tuple(r)[2:] for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, license_id string")).collect()]
     assert Counter(found) == Counter({(1, "MIT", ""): 1, (2, None, "MIT"): 1, (3, None, ""): 1, (4, None, ""): 1, (5, None, ""): 3})
+    one_line = f"Copyright (c) 2020 J. R. Doe, Some Firm Inc. All rights reserved. {licences.BSD_3} {licences.BSD_DISCLAIMER}"
+    rows = [(1, "BSD 3-Clause License\n\nCopyright 2020, A B\nCopyright 2021, C\nAll Rights Reserved\n" + licences.BSD_3 + "\n" + licences.BSD_DISCLAIMER), (2, one_line), (3, "The MIT License (MIT)\n\nCopyright © 2001 X\n\n" + licences.MIT), (4, licences.BSD_2 + licences.BSD_DISCLAIMER)]
+    rows += [(5, "Copyright is a right that authors have. It is granted by law in most of the countries of the world, and this line of prose stays but for its first sentence.")]
+    rows += [(10 + i, open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read()) for i, f in enumerate(("Apache-2.0", "GPL-3", "MPL-2.0")) if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    got = {r["doc_id"]: (r["license_id"], r["text_digest"]) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    empty = "d41d8cd98f00b204e9800998ecf8427e"
+    assert [got[i][0] for i in (1, 2, 3, 4, 5)] == ["BSD-3-Clause", "BSD-3-Clause", "MIT", "BSD-2-Clause", None] and got[5][1] != empty
+    assert [got[10 + i][0] for i in range(3) if 10 + i in got] == ["Apache-2.0", "GPL-3.0", "MPL-2.0"][: len(got) - 5]
+    with pytest.raises(ValueError):
+        licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), {"X": [str(i) for i in range(licences.MOST_KNOWN)]})
 
 
 def test_pipeline_decisions(spark, words, tmp_path):
