@@ -31,6 +31,8 @@ SLICE = 1 << 16
 BLOCK = 4096
 #: Candidates that are ranked exactly, for each row of an answer.
 SPARE = 3
+#: Candidates that a task holds before it drops all but each query's nearest.
+HELD = 1 << 18
 
 
 def usable(vector: Column) -> Column:
@@ -220,6 +222,20 @@ def rank_in_slice(rows: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (none, none, np.empty(0))
 
 
+def nearest_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of what several slices found (query, row, distance) each query's nearest rows, once each."""
+    q, sid, far = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((sid, q))
+    q, sid, far = q[order], sid[order], far[order]
+    once = np.r_[True, (q[1:] != q[:-1]) | (sid[1:] != sid[:-1])][: len(q)]
+    q, sid, far = q[once], sid[once], far[once]
+    order = np.lexsort((sid, far, q))
+    q, sid, far = q[order], sid[order], far[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < most
+    return q[keep], sid[keep], far[keep]
+
+
 def exact_search(asked: list[tuple[int, list[float]]], stored: DataFrame, k: int) -> DataFrame:
     """qid, vec_id, score: the k nearest rows of each of a bounded block of queries (qid, vector), over all rows."""
     spark = stored.sparkSession
@@ -312,9 +328,18 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, tables: int = TAB
     most = SPARE * (k + 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for rows in tables_of_key(batches, ["key", "part"]):
-            q, sid, far = rank_in_slice(rows, most)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(sid), pa.array(far)], ["qid", "sid", "far"])
+            held.append(rank_in_slice(rows, most))
+            size += len(held[-1][0])
+            if size >= HELD:
+                held = [nearest_of(held, most)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["qid", "sid", "far"])
+                    held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, nearest_of(held, most))), ["qid", "sid", "far"])
 
     met = left.unionByName(right).repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInArrow(search, "qid long, sid long, far double")
     order = Window.partitionBy("qid").orderBy("far", "sid")
