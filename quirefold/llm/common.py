@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,30 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def join_few(rows: DataFrame, few: DataFrame, on: str, key: str, most: int, bits: int = 24) -> DataFrame:
+    """``rows`` with the columns of ``few`` (distinct in ``key``) where rows' ``on`` equals it, nulls elsewhere.
+
+    Up to ``most`` rows of ``few`` are broadcast. Of more, a bitmap of 2**bits hashed keys (2 MB, whatever their number) is: rows that it rules out stay where they are, and only the
+    others are shuffled to the join, where Spark's skew join splits a common key.
+    """
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), F.col(on) == F.col(key), "left")
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = few.select(cell(F.col(key)).alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 32 as int))")).alias("m")).toPandas()
+    table = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    table[words["w"].to_numpy(dtype=np.int64)] = words["m"].to_numpy(dtype=np.int64).astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(x: pd.Series) -> pd.Series:
+        v = x.fillna(0).to_numpy(dtype=np.int64)
+        return pd.Series((shared.value[v >> 5] >> (v & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
+
+    can = F.col(on).isNotNull() & maybe(cell(F.col(on)))
+    apart = rows.where(~can).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema))
+    return apart.unionByName(rows.where(can).join(few, F.col(on) == F.col(key), "left"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none, a local session gets a temporary one; a cluster must name its own."""
     sc = spark.sparkContext
@@ -111,8 +136,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges``: two long columns, in any order; loops and repeats are harmless, nulls are dropped.
-    Returns (node, component). Alternates the large-star and small-star steps, each an aggregation
-    and a join, so that a hub is never gathered anywhere; rounds grow with the logarithm of the longest path.
+    Returns (node, component). Alternates the large-star and small-star steps, each an aggregation with partial sums
+    and a join. A hub's edges stream through one task's join, or several where Spark's skew join splits them; they are never held together. Rounds grow
+    with the logarithm of the longest path.
     """
     a, b = edges.columns
     step = (

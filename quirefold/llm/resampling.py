@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bound_batches, free_names, kth_largest, materialise, no_smaller
+from quirefold.llm.common import bound_batches, free_names, join_few, kth_largest, materialise, no_smaller
 
 CELLS = 1 << 15
 SMOOTHING = 0.5
@@ -87,25 +87,20 @@ def with_log_weight(rows: DataFrame, ratios: np.ndarray, keep: tuple[str, ...])
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
-def marked(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def marked(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, text, quality (of the labels, null without one) and target (quality 1 and not toxic).
 
     Labels are one row a document: of several for one doc_id, the worst counts. Labels up to
-    ``MAX_BROADCAST`` rows are broadcast, so the texts stay where they are; more are joined by a shuffle.
+    ``most_broadcast`` rows are broadcast, so the texts stay where they are; of more, only texts that may be labelled move.
     """
     d, = free_names(docs, "d")
     own = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(d)).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    own = own.where(F.col("quality").isNotNull())
-    if own.count() <= MAX_BROADCAST:
-        own = F.broadcast(own)
-    joined = docs.select("doc_id", "text", *keep).join(own, F.col("doc_id") == F.col(d), "left")
+    own = materialise(own.where(F.col("quality").isNotNull()), "labels")
+    joined = join_few(docs.select("doc_id", "text", *keep), own, "doc_id", d, most_broadcast)
     target = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     return joined.select("doc_id", "text", *keep, "quality", target.alias("target"))
 
 
-MAX_BROADCAST = 1_000_000
-
-
 def acceptance_cut(scored: DataFrame) -> float:
     """The log weight that best tells good labelled documents from bad, the mean of both error rates least.
 

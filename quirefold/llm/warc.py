@@ -2,7 +2,8 @@
 
 Each task writes the records of its partition to an archive of its own in the shared folder, one gzip member a record, and
 returns a line of the index for each: archive, offset, length, URL, digest. Archives that no saved index names (of a lost or
-repeated task) are never read. Payloads are written where they are read; no shuffle moves them.
+repeated task) are never read. Payloads are written where they are read; only where more than ``MAX_BROADCAST`` payloads repeat, those that may be among them are shuffled to learn who holds
+them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bound_batches, fresh_path, materialise, shuffle_width
+from quirefold.llm.common import bound_batches, fresh_path, join_few, materialise, shuffle_width
 
 #: Payloads from this many bytes on are stored once.
 LEAST_SHARED = 1000
@@ -82,7 +83,7 @@ def page_of(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def write_archives(pages: DataFrame, folder: str, least_shared: int = LEAST_SHARED) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_shared: int = LEAST_SHARED, most_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Writes archives below ``folder`` and the index to ``folder/index``; returns the index.
 
     pages: page_id (integral), url, html; other columns are ignored. A null html is an empty payload. Of records with equal payloads of at least
@@ -97,9 +98,7 @@ def write_archives(pages: DataFrame, folder: str, least_shared: int = LEAST_SHAR
     shared = rows.where(F.octet_length("payload") >= least_shared).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("holder")).where("n > 1 and holder is not null")
     shared = shared.select(F.col("digest").alias("__digest"), "holder")
     shared = materialise(shared, "shared-payloads")
-    if shared.count() <= MAX_BROADCAST:
-        shared = F.broadcast(shared)
-    rows = rows.join(shared, F.col("digest") == F.col("__digest"), "left").select("page_id", "url", "payload", "digest", "holder")
+    rows = join_few(rows, shared, "digest", "__digest", most_broadcast).select("page_id", "url", "payload", "digest", "holder")
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
 

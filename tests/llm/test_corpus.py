@@ -338,6 +338,11 @@ def test_warc(spark, tmp_path):
     kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in found)
     assert kinds == Counter({(1, "revisit", 3): 1, (2, "revisit", 3): 1, (3, "response", None): 2, (4, "response", None): 1, (5, "response", None): 1, (6, "response", None): 1, (7, "response", None): 1, (8, "response", None): 1, (None, "revisit", 4): 1})
     assert all(r["payload"].decode() == big for r in found if r["page_id"] == 3) and {r["payload_bytes"] for r in found if r["page_id"] in (1, 2)} == {len(big.encode())}
+    apart = warc.write_archives(df, folder + "2", most_broadcast=0)
+    names = ["page_id", "url", "payload_digest", "record_type", "refers_to", "payload_bytes"]
+    assert Counter(map(tuple, apart.select(names).collect())) == Counter(map(tuple, index.select(names).collect()))
+    long = spark.createDataFrame([(1, "u", "é<br>" * 400_000), (2, "v", "é<br>" * 400_000)], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.round_trip(long).collect()) == [(1, "revisit", 2_400_000), (2, "response", 2_400_000)]
     some = warc.read_records(spark, folder, index.where("page_id = 4")).collect()
     assert [r["payload"].decode() for r in some] == [other]
     assert warc.round_trip(df.limit(0)).count() == 0
@@ -354,6 +359,8 @@ def test_resampling(spark, words):
     ten = resampling.resample(docs, labels, k=10).collect()
     top = sorted((r["key"] for r in ten), reverse=True)[:10]
     assert sorted((r["key"] for r in ten if r["selected"]), reverse=True) == top
+    marks = ["doc_id", "quality", "target"]
+    assert Counter(map(tuple, resampling.marked(docs, labels, most_broadcast=0).select(marks).collect())) == Counter(map(tuple, resampling.marked(docs, labels).select(marks).collect()))
     none = resampling.keep_selected(docs, labels.limit(0))
     assert none.count() == docs.count() and none.columns == docs.columns
     assert resampling.resample(docs.limit(0), labels).count() == 0
