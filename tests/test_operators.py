@@ -224,3 +224,135 @@ def test_searches():
 def test_formats_of_exact_halves(spark):
     rows = spark.createDataFrame([(1_005_000,), (1_045,), (1_125,), (12_250,), (2_675,), (999_999,), (100_500,), (5_000_000_000,)], "n long")
     assert [r[0] for r in rows.select(scalars.format_bytes(F.col("n"))).collect()] == ["1.00 MB", "1.04 KB", "1.13 KB", "12.3 KB", "2.67 KB", "1000 KB", "101 KB", "5.00 GB"]
+
+
+def test_compress_plan_equals_plain_steps(spark):
+    from math import ceil
+
+    from quirefold.operators import drivers
+
+    rng, images, plans, outputs, files, expected, kept_rungs = random.Random(10), [], [], [], [], {}, {}
+    shares = [r[3] for r in ladder.RUNGS]
+    for deck in range(60):
+        own, measured, sums = {}, {}, {}
+        for ref in range(rng.randint(1, 5)):
+            size, kind = rng.randint(20_000, 900_000), rng.choice(("jpeg", "jpeg", "raw", None))
+            images.append((deck, ref, size, kind, ["/FlateDecode"], float(rng.choice((1, 2)))))
+            if kind:
+                own[ref] = (size, images[-1][5], {k: size * (0.95 - 0.1 * k) for k in range(6)})
+                for k in range(6):
+                    plans.append((deck, ref, k, "jpeg", True, True, size, shares[k], own[ref][2][k], 2000 - 100 * k, 1000, 0.8))
+                    if rng.random() < 0.4:
+                        out = int(size * rng.uniform(0.1, 0.9))
+                        measured[ref, k] = out
+                        outputs.append((deck, ref, k, out))
+                        b, a = sums.get(k, (0, 0))
+                        sums[k] = (b + own[ref][2][k], a + out)
+        heavy, photos = sum(i[2] for i in images if i[0] == deck), sum(i[2] for i in images if i[0] == deck and i[3])
+        file = heavy + rng.randint(0, 100_000)
+        budget = file * rng.choice((0.15, 0.4, 0.6, 0.8, 0.97, 1.1))
+        files.append((deck, file, budget))
+        size = {(r, k): float(measured.get((r, k), 0)) or (lambda p: p if p < v[0] else float(v[0]))(v[2][k] * (sums[k][1] / sums[k][0] if k in sums else shares[k])) for r, v in own.items() for k in range(6)}
+        total = [file - photos + sum(size[r, k] for r in own) for k in range(6)] if own else []
+        lossless = file - heavy * 0.05 - max(0, file - heavy) * 0.5
+        fitting = [k for k, t in enumerate(total) if t <= budget]
+        if file <= budget:
+            expected[deck] = ("original", None, float(file), None)
+        elif lossless <= budget:
+            expected[deck] = ("lossless", None, lossless, None)
+        elif fitting:
+            stored = {r: (v[0], v[1], {k: (size[r, k], "original" if size[r, k] == v[0] else str(k)) for k in range(6)}) for r, v in own.items()}
+            now, _, filled = plain_fill(stored, fitting[0], total[fitting[0]], budget, 0.0)
+            expected[deck] = ("images", fitting[0], filled, None)
+            kept_rungs.update({(deck, r): k for r, k in now.items()})
+        else:
+            kept, other = heavy - photos, file - heavy
+            why = "quality-floor" if kept + other < budget * 0.9 else "kept-images" if kept > other else "not-photos"
+            need = [ceil(t / (budget * 0.92)) for t in total]
+            at = next((k for k, n in enumerate(need) if n <= need[-1]), None)
+            expected[deck] = ("split-needed", at, total[at] if at is not None else lossless, why)
+    i = spark.createDataFrame(images, "deck_id long, ref long, bytes long, kind string, filters array<string>, coverage double")
+    p = spark.createDataFrame(plans, "deck_id long, ref long, rung int, format string, photo boolean, resized boolean, bytes long, default_share double, base double, target_width int, target_height int, quality double")
+    o, f = spark.createDataFrame(outputs, "deck_id long, ref long, rung int, bytes long"), spark.createDataFrame(files, "deck_id long, file_bytes long, budget double")
+    found, chosen = drivers.compress_plan(i.drop("coverage"), p, o, i.select("deck_id", "ref", "coverage"), i.select("deck_id", "filters", "bytes"), f)
+    got = {r["deck_id"]: (r["step"], r["rung"], round(r["bytes"], 4), r["split_reason"]) for r in found.collect()}
+    assert got == {d: (s, k, round(b, 4), w) for d, (s, k, b, w) in expected.items()}
+    assert {(r["deck_id"], r["ref"]): r["rung"] for r in chosen.collect()} == kept_rungs and len({s for s, *_ in got.values()}) == 4
+
+
+def test_flattening_tries_again_with_a_lower_target(spark):
+    from quirefold.operators import drivers
+
+    rng, rows, decks, expected = random.Random(12), [], [], {}
+    for deck in range(25):
+        pages = []
+        for page in range(rng.randint(1, 5)):
+            sizes, clear = sorted((rng.randint(100, 10_000) for _ in range(6)), reverse=True), sorted((rng.random() * 0.3 + 0.7 for _ in range(6)), reverse=True)
+            pages.append((sizes, clear))
+            rows += [(deck, page, v, sizes[v], clear[v]) for v in range(6)]
+        budget, growth = sum(p[0][0] for p in pages) * rng.uniform(0.3, 1.1), rng.choice((1.0, 1.03, 1.2))
+        decks.append((deck, budget, 50.0, growth))
+        target = budget * drivers.FLATTEN_AIM - 50
+        for n in range(4):
+            picked = greedy(pages, target)
+            over = sum(pages[p][0][v] for p, v in enumerate(picked)) * growth + 50 - budget
+            if over <= 0 or n == 3:
+                expected[deck] = (picked, n, over <= 0)
+                break
+            target -= over
+    found = drivers.flatten_plan(spark.createDataFrame(rows, "deck_id long, page int, version int, bytes long, clarity double"), spark.createDataFrame(decks, "deck_id long, budget double, overhead double, growth double"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["deck_id"], ({}, r["round"], r["fits"]))[0][r["page"]] = r["version"]
+    assert {d: ([v[p] for p in sorted(v)], n, fits) for d, (v, n, fits) in got.items()} == expected and {n for _, n, _ in got.values()} > {0}
+
+
+def test_picture_document_can_be_found_by_its_offsets(spark):
+    import re
+
+    pages = [(1, p, bytes(f"jpeg{p}" * p, "ascii"), 10 * p, 20, 3 if p % 2 else 1, 595.0, 841.89) for p in (1, 2, 3)] + [(2, 7, b"x", 1, 1, 1, 100.5, 50.0)]
+    df = spark.createDataFrame(pages, "deck_id long, page int, jpeg binary, width int, height int, components int, page_width double, page_height double")
+    for deck, content in split.picture_document(df).collect():
+        content = bytes(content)
+        start = int(re.search(rb"startxref\n(\d+)\n%%EOF\n$", content)[1])
+        table = content[start:].split(b"\n")
+        count = int(table[1].split()[1])
+        assert table[0] == b"xref" and count == 3 * sum(p[0] == deck for p in pages) + 3
+        for n in range(1, count):
+            at = int(table[2 + n].split()[0])
+            assert content[at:].startswith(b"%d 0 obj\n" % n) and len(table[2 + n]) == 19
+        for found in re.finditer(rb"/Length (\d+) >>\nstream\n", content):
+            assert content[found.end() + int(found[1]) :].startswith(b"\nendstream")
+        own = [p for p in pages if p[0] == deck]
+        assert content.count(b"/Type /Page ") == len(own) and all(p[2] in content for p in own) and re.search(rb"/MediaBox \[0 0 (595 841\.89|100\.5 50)\]", content)
+
+
+def test_tiles_and_lanczos():
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    image = rng.integers(0, 256, (50, 61)).astype(np.uint8)
+    found = pixels.tile_stats(image, 16)
+    assert [f[:2] for f in found] == [(x, y) for y in (1, 17, 33) for x in (6, 22, 38)]
+    for x, y, detail, spread in found:
+        own = [(i, j) for j in range(y, y + 12, 4) for i in range(x, x + 12, 4)]
+        v = image.astype(int)
+        assert abs(detail - np.mean([abs(v[j, i] - v[j, i + 4]) + abs(v[j, i] - v[j + 4, i]) for i, j in own])) < 1e-9
+        assert abs(spread - np.std([v[j, i] for i, j in own])) < 1e-9
+    colour = np.stack([image] * 3, axis=2)
+    assert pixels.tile_stats(colour, 16) == found and pixels.crop(image, 6, 1, 16).shape == (16, 16)
+    flat = np.full((40, 30, 3), 77, np.uint8)
+    assert (pixels.lanczos(flat, 13, 50) == 77).all() and pixels.lanczos(flat, 13, 50).shape == (13, 50, 3)
+    assert (pixels.lanczos(image, 50, 61) == image).all()
+    ramp = np.tile(np.arange(0, 200, 2, dtype=np.uint8), (4, 1))
+    assert np.abs(pixels.lanczos(ramp, 4, 50)[:, 5:45].astype(int) - (np.arange(50) * 4 + 1)[5:45]).max() <= 1
+
+
+def test_drawings_are_rounded_where_it_pays(spark):
+    import zlib
+
+    rng = random.Random(14)
+    long = b"\n".join(b"%.9f %.9f l" % (rng.random() * 500, rng.random() * 500) for _ in range(12_000))
+    rows = [(1, "a", zlib.compress(long), 1.0), (1, "b", zlib.compress(b"1 2 m"), 1.0), (1, "c", zlib.compress(long), None), (2, "a", zlib.compress(b"1.23456 2 m"), 1.0), (3, "a", b"no stream", 1.0)]
+    found = content.round_drawings(spark.createDataFrame(rows, "deck_id long, ref string, content binary, pixels_per_unit double")).collect()
+    assert [(r["deck_id"], r["ref"]) for r in found] == [(1, "a")] and zlib.decompress(found[0]["content"]) == content.round_paths(long, 1.0)
