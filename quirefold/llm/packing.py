@@ -74,28 +74,39 @@ def minimum_slack(lengths: list[int], window: int) -> list[list[int]]:
 
 
 class WordEncoder(dict):
-    """Ids of texts by a tokenizer that cuts at white space: each word is encoded once and remembered, up to a bound.
+    """Ids of texts by a tokenizer that cuts at white space: each word is encoded once and remembered, up to a bound; beyond it those met most often stay.
 
     Only for tokenizers whose ids of a text are those of its words at ASCII white space, one after another, whatever the case of
     A-Z, as holds for ``word_bpe_49k``: its normaliser, its added tokens and its splitting rule never look across white space, and
     it lower-cases all but its added tokens, whose texts contain ``<|``.
     """
 
-    LIMIT = 1 << 17
+    LIMIT, KEPT = 1 << 18, 1 << 17
     #: Stands for the end of a document; no word holds a space.
     END = b" "
 
     def __init__(self, path: str) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer(path)
-        self.forget()
+        from tokenizers import Tokenizer
 
-    def forget(self) -> None:
-        self.clear()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
         self[self.END] = 0
         self.waiting: list[bytes] = []
         self.flat, self.used = np.array([END_ID], dtype="<u4"), 1
-        self.start, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+        self.start, self.length, self.uses = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the words that were met most often, and more than once."""
+        order = np.argsort(-self.uses[1:], kind="stable")[: self.KEPT] + 1
+        keep = np.append(0, np.sort(order[self.uses[order] > 1]))
+        words = list(self)
+        length = self.length[keep]
+        stop = np.cumsum(length)
+        self.flat = self.flat[np.repeat(self.start[keep] - (stop - length), length) + np.arange(stop[-1])]
+        self.start, self.length, self.uses, self.used = stop - length, length, self.uses[keep] // 2, int(stop[-1])
+        self.clear()
+        self.update((words[i], n) for n, i in enumerate(keep.tolist()))
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self)
@@ -124,15 +135,16 @@ class WordEncoder(dict):
         self.flat[self.used : self.used + len(new)] = new
         self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
+        self.uses = np.concatenate([self.uses, np.zeros(len(length), dtype=np.int64)])
         self.used += len(new)
         self.waiting = []
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        if len(self) > self.LIMIT:
-            self.forget()
         out = []
         for at in range(0, len(texts), 64):
+            if len(self) > self.LIMIT:
+                self.shrink()
             codes = []
             for text in texts[at : at + 64]:
                 raw = text or b""
@@ -141,6 +153,7 @@ class WordEncoder(dict):
                 codes.append(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
             if self.waiting:
                 self.encode_waiting()
+            self.uses += np.bincount(np.concatenate(codes), minlength=len(self.uses))
             for c in codes:
                 length = self.length[c]
                 stop = np.cumsum(length)
@@ -149,12 +162,9 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=1)
-def tokenizer(path: str) -> object:
-    """One tokenizer a process. The words met are each task's own, so that no worker keeps them when the task has ended."""
-    from tokenizers import Tokenizer
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    return Tokenizer.from_file(path)
+def encoder(path: str) -> WordEncoder:
+    """One encoder a process, so that tasks that follow one another share the commonest words."""
+    return WordEncoder(path)
 
 
 def pack_group(docs: list[tuple[object, np.ndarray]], window: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
@@ -219,7 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if tokenizer_path is None:
             import public_tokenizers
 
-        encode = WordEncoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encode = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
         held: list[tuple[object, np.ndarray, int, int]] = []  # doc_id, ids, where they start, the document's number of ids
