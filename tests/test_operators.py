@@ -356,3 +356,28 @@ def test_drawings_are_rounded_where_it_pays(spark):
     rows = [(1, "a", zlib.compress(long), 1.0), (1, "b", zlib.compress(b"1 2 m"), 1.0), (1, "c", zlib.compress(long), None), (2, "a", zlib.compress(b"1.23456 2 m"), 1.0), (3, "a", b"no stream", 1.0)]
     found = content.round_drawings(spark.createDataFrame(rows, "deck_id long, ref string, content binary, pixels_per_unit double")).collect()
     assert [(r["deck_id"], r["ref"]) for r in found] == [(1, "a")] and zlib.decompress(found[0]["content"]) == content.round_paths(long, 1.0)
+
+
+def test_clarity_equals_a_plain_version():
+    import numpy as np
+
+    rng = random.Random(15)
+    for case in range(6):
+        h, w = rng.choice((16, 20, 33)), rng.choice((16, 24, 41))
+        x = [[rng.randrange(256) if (i // 8 + j // 8) % 3 else 90 for j in range(w)] for i in range(h)]
+        y = [[min(255, max(0, v + rng.randint(-40, 40) * (case > 0))) for v in row] for row in x]
+        blocks = []
+        for top in range(0, h - 7, 8):
+            for left in range(0, w - 7, 8):
+                a, b = ([m[i][j] for i in range(top, top + 8) for j in range(left, left + 8)] for m in (x, y))
+                ma, mb = sum(a) / 64, sum(b) / 64
+                va, vb, cov = sum(v * v for v in a) / 64 - ma * ma, sum(v * v for v in b) / 64 - mb * mb, sum(v * u for v, u in zip(a, b)) / 64 - ma * mb
+                if va >= 16:
+                    blocks.append(((2 * ma * mb + 6.5025) * (2 * cov + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225)), va))
+        total, worst, run = sum(v for _, v in blocks), [], 0.0
+        for s, v in sorted(blocks, key=lambda b: b[0]):
+            if run < total * 0.05:
+                worst.append((s, v))
+            run += v
+        mean = lambda rows: sum(s * v for s, v in rows) / sum(v for _, v in rows)
+        assert abs(pixels.clarity(np.array(x, np.uint8), np.array(y, np.uint8)) - (mean(blocks) + mean(worst)) / 2) < 1e-9
