@@ -81,7 +81,7 @@ class WordEncoder(dict):
     it lower-cases all but its added tokens, whose texts contain ``<|``.
     """
 
-    LIMIT, KEPT = 1 << 18, 1 << 17
+    LIMIT, KEPT = 1 << 19, 1 << 18
     #: Stands for the end of a document; no word holds a space.
     END = b" "
 
