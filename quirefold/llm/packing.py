@@ -27,6 +27,8 @@ WINDOW = 2048
 #: Tokens that a task holds at a time.
 GROUP_TOKENS = 1 << 21
 END_ID = 1
+#: Words that a process remembers.
+REMEMBERED = 1 << 20
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -81,16 +83,15 @@ class WordEncoder(dict):
     it lower-cases all but its added tokens, whose texts contain ``<|``.
     """
 
-    LIMIT, KEPT = 1 << 19, 1 << 18
     #: Stands for the end of a document; no word holds a space.
     END = b" "
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self[self.END] = 0
         self.waiting: list[bytes] = []
         self.flat, self.used = np.array([END_ID], dtype="<u4"), 1
@@ -98,7 +99,7 @@ class WordEncoder(dict):
 
     def shrink(self) -> None:
         """Keeps the words that were met most often, and more than once."""
-        order = np.argsort(-self.uses[1:], kind="stable")[: self.KEPT] + 1
+        order = np.argsort(-self.uses[1 : len(self)], kind="stable")[: self.limit // 2] + 1
         keep = np.append(0, np.sort(order[self.uses[order] > 1]))
         words = list(self)
         length = self.length[keep]
@@ -133,9 +134,10 @@ class WordEncoder(dict):
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + len(new) + len(self), dtype="<u4")])
         self.flat[self.used : self.used + len(new)] = new
-        self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.uses = np.concatenate([self.uses, np.zeros(len(length), dtype=np.int64)])
+        now, before = len(self), len(self) - len(length)
+        if now > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([a, np.zeros(now, dtype=np.int64)]) for a in (self.start, self.length, self.uses))
+        self.start[before:now], self.length[before:now] = self.used + np.cumsum(length) - length, length
         self.used += len(new)
         self.waiting = []
 
@@ -143,7 +145,7 @@ class WordEncoder(dict):
         """Ids of each text, with the end id."""
         out = []
         for at in range(0, len(texts), 64):
-            if len(self) > self.LIMIT:
+            if len(self) > self.limit:
                 self.shrink()
             codes = []
             for text in texts[at : at + 64]:
@@ -153,7 +155,7 @@ class WordEncoder(dict):
                 codes.append(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
             if self.waiting:
                 self.encode_waiting()
-            self.uses += np.bincount(np.concatenate(codes), minlength=len(self.uses))
+            self.uses[: len(self)] += np.bincount(np.concatenate(codes), minlength=len(self))
             for c in codes:
                 length = self.length[c]
                 stop = np.cumsum(length)
@@ -162,9 +164,9 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    """One encoder a process, so that tasks that follow one another share the commonest words."""
-    return WordEncoder(path)
+def encoder(path: str, limit: int) -> WordEncoder:
+    """One encoder a process, so that tasks that follow one another share its words."""
+    return WordEncoder(path, limit)
 
 
 def pack_group(docs: list[tuple[object, np.ndarray]], window: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
@@ -215,11 +217,11 @@ def powers_of_two(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, group_tokens: int = GROUP_TOKENS, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     docs needs ``doc_id`` and ``text``; other columns are ignored. A null or empty text is the end id alone.
-    A repeated row is packed as often as it stands there. Sequences hold ``window`` ids, or, at the end of a task, a power of
+    ``remembered``: words that a process remembers the ids of, some 250 bytes each; it changes the time, not the result. A repeated row is packed as often as it stands there. Sequences hold ``window`` ids, or, at the end of a task, a power of
     two, so nothing is padded. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
@@ -229,7 +231,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if tokenizer_path is None:
             import public_tokenizers
 
-        encode = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        encode = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), remembered)
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
         held: list[tuple[object, np.ndarray, int, int]] = []  # doc_id, ids, where they start, the document's number of ids
