@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import containers, scalars, searching
 from quirefold.operators import content, drivers, inventory, ladder, split
-from quirefold.plans.catalogue import BUDGETS, EVENTS, IMAGES, PAGES, PLACED, PLANS, PREDICTED, base, inventory_of, plans_of, query, totals_of, versions_of
+from quirefold.plans.catalogue import BUDGETS, EVENTS, IMAGES, PAGES, PLACED, PREDICTED, base, inventory_of, plans_of, query, totals_of, versions_of
 from quirefold.sources import objects
 from quirefold.streaming import progress
 
