@@ -31,7 +31,6 @@ def test_edited_copies_are_grouped(spark, tmp_path):
 
 
 def test_groups_of_unlike_copies_are_connected_like_by_brute_force(spark):
-    from pyspark.sql import functions as F
 
     from quirefold.llm.common import connected_components
     from quirefold.llm.nearcopies import near_links
