@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import ann, hamming, langid, licences, mixing, packing, passages, resampling, simhash, warc
+from quirefold.llm import ann, filteraudit, hamming, langid, licences, mixing, packing, passages, resampling, simhash, vectorcodes, vectordups, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,45 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordups.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_simhash, op3_cross_polytope, op4_license_scan, op5_packing, op6_hamming_topk, op7_warc, op8_resampling, op9_mixing, op10_language_id)
+    for f in (op1_substring_dedup, op2_simhash, op3_cross_polytope, op4_license_scan, op5_packing, op6_hamming_topk, op7_warc, op8_resampling, op9_mixing, op10_language_id, op11_vector_duplicates, op12_vector_codes, op13_filter_audit)
 }
 
+
+
+def codes_sql() -> str:
+    """Product quantisation as plain SQL: every round is two CTEs."""
+    parts = ", ".join(f"({p})" for p in range(4))
+    ctes = ["""k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"v AS (SELECT vec_id, label, p, q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4] AS q FROM k, (VALUES {parts}) AS t(p))",
+        "b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, q AS c FROM v QUALIFY e < 256)"]
+    for n in range(5):
+        ctes.append(f"""a{n} AS MATERIALIZED (SELECT v.vec_id, v.label, v.p, v.q, e, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM v JOIN b{n} USING (p) QUALIFY row_number() OVER (PARTITION BY v.vec_id, v.p ORDER BY d, e) = 1)""")
+        if n < 4:
+            ctes.append(f"u{n} AS (SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{n}) GROUP BY ALL)")
+            ctes.append(f"m{n} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM u{n} GROUP BY ALL)")
+            ctes.append(f"b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m USING (p, e))")
+    return f"""WITH {", ".join(ctes)},
+    s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4),
+    r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, s"""
+
+
 ORACLES = {
     "op4_license_scan": licences.scan_sql(),
     "op6_hamming_topk": """
@@ -95,4 +129,30 @@ ORACLES = {
         (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END) * size
         + greatest(0, least(size, budget - (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END) * source_size - run)) AS BIGINT) AS taken
     FROM o""",
+    "op11_vector_duplicates": """
+    WITH RECURSIVE fine AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    unit AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM fine),
+    l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.u) = len(b.u) WHERE list_inner_product(a.u, b.u) >= 0.98),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+    SELECT vec_id, CAST((SELECT count(*) FROM l WHERE l.a = vec_id) AS BIGINT) AS n_links, least(vec_id, (SELECT min(b) FROM r WHERE r.a = vec_id)) AS component_id,
+        vec_id = least(vec_id, (SELECT min(b) FROM r WHERE r.a = vec_id)) AS kept
+    FROM embeddings""",
+    "op12_vector_codes": codes_sql(),
+    "op13_filter_audit": r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    f AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask,
+        CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS toxic FROM d),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+    s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+    r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0) AS removed,
+        coalesce(sum(n) FILTER (WHERE mask & before > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+        FROM c, s GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+        good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
 }
