@@ -5,23 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.sources.shared import checkpointed
+
 
 def weighted_worst(blocks: DataFrame, keys: list[str], share: float = 0.05) -> DataFrame:
     """keys, clarity: mean of the weighted mean score and of that of the lowest scores that hold the share of the weight.
 
-    blocks: keys, score, weight, n (ties in order). The block that crosses the share counts.
+    blocks: keys, score, weight, n (ties in order). The block that crosses the share counts. Blocks are dealt by score to ranges of about equal size, so a group of any size is many tasks' work: sums of
+    the ranges say which of them lie wholly below the share, and a running sum is taken within the one that crosses it.
     """
+    rows = blocks.select(*keys, "score", "weight", "n").repartitionByRange("score", "n").withColumn("__r", F.spark_partition_id())
+    rows = checkpointed(rows)
+    sums = rows.groupBy(*keys, "__r").agg(F.sum("weight").alias("__w"), F.sum(F.col("score") * F.col("weight")).alias("__s"))
+    group = Window.partitionBy(*keys)
+    base = F.coalesce(F.sum("__w").over(group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = checkpointed(sums.withColumn("__base", base).withColumn("__share", F.sum("__w").over(group) * share))
+    below = F.col("__base") + F.col("__w") <= F.col("__share")
+    # Null-safe, as null keys are a group like any other.
+    crossed = sums.where(~below & (F.col("__base") < F.col("__share"))).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__r").alias("__at"), "__base", "__share")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__r") == F.col("__at")]
     order = Window.partitionBy(*keys).orderBy("score", "n").rowsBetween(Window.unboundedPreceding, -1)
-    each = blocks.withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0.0))).withColumn("all", F.sum("weight").over(Window.partitionBy(*keys)))
-    low = (F.col("before") < F.col("all") * share).cast("double")
-    mean = F.sum(F.col("score") * F.col("weight")) / F.sum("weight")
-    worst = F.sum(low * F.col("score") * F.col("weight")) / F.sum(low * F.col("weight"))
-    return each.groupBy(*keys).agg(((mean + worst) / 2).alias("clarity"))
+    inside = rows.join(crossed, same).withColumn("__before", F.col("__base") + F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
+    inside = inside.where(F.col("__before") < F.col("__share")).select(*keys, F.col("weight").alias("__lw"), (F.col("score") * F.col("weight")).alias("__ls"))
+    none = F.lit(None).cast("double")
+    both = sums.select(*keys, "__w", "__s", F.when(below, F.col("__w")).alias("__lw"), F.when(below, F.col("__s")).alias("__ls")).unionByName(inside.select(*keys, none.alias("__w"), none.alias("__s"), "__lw", "__ls"))
+    return both.groupBy(*keys).agg(((F.sum("__s") / F.sum("__w") + F.sum("__ls") / F.sum("__lw")) / 2).alias("clarity"))
+
 
+def running_speed(rows: DataFrame, keys: list[str], order: str, value: str, keep: float = 0.7) -> DataFrame:
+    """keys, speed: the first value, then ``keep`` of what was and the rest of the new one, in order of ``order`` and value.
 
-def running_speed(values: Column, keep: float = 0.7) -> Column:
-    """The first value, then 0.7 of what was and 0.3 of the new one, in order."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * keep + x * (1 - keep)))
+    What is left of a value after all later ones is a power of ``keep``, so a sum by the row's place from the end gives the same: rows stream through a window, and no history is gathered.
+    """
+    back = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(value))
+    first = F.lead(F.lit(1)).over(back).isNull()
+    weight = F.pow(F.lit(keep), F.row_number().over(back) - 1) * F.when(first, 1.0).otherwise(1 - keep)
+    return rows.withColumn("__part", F.col(value) * weight).groupBy(*keys).agg(F.sum("__part").alias("speed"))
 
 
 def verify_pages(before: DataFrame, after: DataFrame, tolerance: float = 0.5) -> DataFrame:

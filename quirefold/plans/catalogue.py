@@ -132,14 +132,18 @@ PREDICTED = f"""(SELECT *, CASE WHEN format IS NOT NULL AND CASE WHEN resized TH
     FROM (SELECT *, bytes * pow(target_width * target_height / (width * height), 0.85) * CASE WHEN photo THEN default_share ELSE 1 END AS size FROM {PLANS} p) q)"""
 
 
-@query(f"SELECT deck_id, rung, round(sum(predicted), 3) AS total FROM {PREDICTED} p GROUP BY 1, 2")
+#: Sizes are added as whole thousandths of a byte, which come to the same in any order.
+TOTAL = "CAST(sum(CAST(floor(predicted * 1000 + 0.5) AS BIGINT)) AS DOUBLE) / 1000::DOUBLE"
+
+
+@query(f"SELECT deck_id, rung, round({TOTAL}, 3) AS total FROM {PREDICTED} p GROUP BY 1, 2")
 def a5_predicted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals_of(spark, sf_dir).select("deck_id", "rung", F.round("total", 3).alias("total"))
 
 
 @query(f"""SELECT deck_id, CAST(coalesce(best, -1) AS INT) AS expected, CASE WHEN best IS NOT NULL THEN array_to_string(list_filter([best - 1, best, best + 1], lambda x: x BETWEEN 0 AND 5), ',')
     WHEN spl = 5 THEN '5' ELSE spl || ',5' END AS encode FROM (SELECT deck_id, min(CASE WHEN total <= budget * 0.97::DOUBLE THEN rung END) AS best, min(CASE WHEN ceil(total / (budget * 0.92::DOUBLE)) <= ceil(lastt / (budget * 0.92::DOUBLE)) THEN rung END) AS spl
-    FROM (SELECT t.*, b.budget::DOUBLE AS budget, last_value(total) OVER (PARTITION BY t.deck_id ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lastt FROM (SELECT deck_id, rung, sum(predicted) AS total FROM {PREDICTED} p GROUP BY 1, 2) t JOIN ({BUDGETS}) b USING (deck_id)) u GROUP BY deck_id) v""")
+    FROM (SELECT t.*, b.budget::DOUBLE AS budget, last_value(total) OVER (PARTITION BY t.deck_id ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lastt FROM (SELECT deck_id, rung, {TOTAL} AS total FROM {PREDICTED} p GROUP BY 1, 2) t JOIN ({BUDGETS}) b USING (deck_id)) u GROUP BY deck_id) v""")
 def t6_t7_choose_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = ladder.choose_rungs(totals_of(spark, sf_dir), base(spark, sf_dir, BUDGETS).withColumn("budget", F.col("budget").cast("double")))
     return chosen.na.fill(-1, ["expected"]).withColumn("encode", F.array_join(F.transform("encode", lambda x: x.cast("string")), ","))
@@ -482,5 +486,4 @@ def a10_lightest(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, round(arg_max(speed, k), 6) AS speed FROM w GROUP BY 1""")
 def a21_running_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base(spark, sf_dir, "SELECT user_id, event_id, value FROM {events} WHERE value IS NOT NULL")
-    per = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return per.select("user_id", F.round(measures.running_speed(F.col("v")), 6).alias("speed"))
+    return measures.running_speed(e, ["user_id"], "event_id", "value").withColumn("speed", F.round("speed", 6))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import containers, scalars, searching
 from quirefold.operators import content, drivers, inventory, ladder, split
-from quirefold.plans.catalogue import BUDGETS, EVENTS, IMAGES, PAGES, PLACED, PREDICTED, base, inventory_of, plans_of, query, totals_of, versions_of
+from quirefold.plans.catalogue import BUDGETS, EVENTS, IMAGES, PAGES, PLACED, PREDICTED, TOTAL, base, inventory_of, plans_of, query, totals_of, versions_of
 from quirefold.sources import objects
 from quirefold.streaming import progress
 
@@ -56,7 +56,7 @@ def o8_split_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_document(base(spark, sf_dir, CONTENT), base(spark, sf_dir, DRAWS), base(spark, sf_dir, LIMITS))
 
 
-@query(f"SELECT t.deck_id, rung, CAST(floor(total + 0.5) AS BIGINT) AS bytes, total <= budget * 1.04::DOUBLE AS built FROM (SELECT deck_id, rung, sum(predicted) AS total FROM {PREDICTED} p GROUP BY 1, 2) t JOIN ({BUDGETS}) b USING (deck_id)")
+@query(f"SELECT t.deck_id, rung, CAST(floor(total + 0.5) AS BIGINT) AS bytes, total <= budget * 1.04::DOUBLE AS built FROM (SELECT deck_id, rung, {TOTAL} AS total FROM {PREDICTED} p GROUP BY 1, 2) t JOIN ({BUDGETS}) b USING (deck_id)")
 def p9_try_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.try_gate(totals_of(spark, sf_dir), base(spark, sf_dir, BUDGETS).withColumn("budget", F.col("budget").cast("double")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import containers, scalars, wording
 from quirefold.operators import evaluation, flatten, inventory, ladder, measures, placing, split
-from quirefold.plans.catalogue import BUDGETS, HULL, IMAGES, PAGES, PLACED, PLANS, POINTS, PREDICTED, SIZES, VERSIONS, base, fixed_sql, plans_of, query, totals_of, versions_of
+from quirefold.plans.catalogue import BUDGETS, HULL, IMAGES, PAGES, PLACED, PLANS, POINTS, PREDICTED, TOTAL, SIZES, VERSIONS, base, fixed_sql, plans_of, query, totals_of, versions_of
 from quirefold.streaming import progress
 
 EVENTS = "SELECT event_id, user_id, event_type, value, CAST(floor(abs(value) * 997) AS BIGINT) AS n FROM {events} WHERE value IS NOT NULL"
@@ -277,7 +277,7 @@ def s13_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.from_json("line", "deck_id long, page long, page_width double").alias("j")).select("j.*")
 
 
-@query(f"SELECT t.deck_id, rung, round(total, 3) AS total FROM (SELECT deck_id, rung, sum(predicted) AS total FROM {PREDICTED} p GROUP BY 1, 2) t JOIN ({BUDGETS}) b USING (deck_id) WHERE rung = {len(ladder.RUNGS) - 1} OR total <= budget * {ladder.PLAUSIBLE}")
+@query(f"SELECT t.deck_id, rung, round(total, 3) AS total FROM (SELECT deck_id, rung, {TOTAL} AS total FROM {PREDICTED} p GROUP BY 1, 2) t JOIN ({BUDGETS}) b USING (deck_id) WHERE rung = {len(ladder.RUNGS) - 1} OR total <= budget * {ladder.PLAUSIBLE}")
 def p8_plausible_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     budgets = base(spark, sf_dir, BUDGETS).withColumn("budget", F.col("budget").cast("double"))
     return ladder.plausible_rungs(totals_of(spark, sf_dir), budgets).select("deck_id", "rung", F.round("total", 3).alias("total"))

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder that the session names; where it names none, a local session gets a temporary one, and a cluster an error."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; where it names none, a local session gets a temporary one, and a cluster an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quirefold.operators.scans import scanned
+
 # The share of a job that each stage takes.
 BANDS = {"inspect": (0.02, 0.06), "tidy": (0.06, 0.16), "photos": (0.16, 0.78), "resize": (0.16, 0.78), "verify": (0.78, 0.9), "split": (0.9, 0.99), "flatten": (0.06, 0.88)}
 LEAST_MS, STALL_MS = 80, 120_000
@@ -41,15 +44,15 @@ def monotone(events: DataFrame) -> DataFrame:
 
 
 def throttled(events: DataFrame) -> DataFrame:
-    """Of monotone events, those sent: forced ones, and others at least 80 ms after the one sent last. A fold over each job's events."""
-    per = events.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("ts_ms", "seq", "forced", "permille"))).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.filter("e", lambda x: F.lit(False)).alias("out"))
+    """Of monotone events, those sent: forced ones, and others at least 80 ms after the one sent last, as a scan of each job's events in order."""
 
-    def step(a: Column, x: Column) -> Column:
-        send = x["forced"] | a["last"].isNull() | (x["ts_ms"] - a["last"] >= LEAST_MS)
-        return F.struct(F.when(send, x["ts_ms"]).otherwise(a["last"]).alias("last"), F.when(send, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
+    def step(last: list, e: Any) -> list[tuple]:
+        if not e.forced and last and e.ts_ms - last[0] < LEAST_MS:
+            return []
+        last[:] = [e.ts_ms]
+        return [(e.job_id, e.ts_ms, e.seq, e.permille)]
 
-    return per.select("job_id", F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("x")).select("job_id", "x.ts_ms", "x.seq", "x.permille")
+    return scanned(events.select("job_id", "ts_ms", "seq", "forced", "permille"), ["job_id"], ["ts_ms", "seq"], list, step, "job_id long, ts_ms long, seq long, permille long")
 
 
 def stalls(events: DataFrame, gap_ms: int = STALL_MS, hidden: DataFrame | None = None) -> DataFrame:
@@ -63,7 +66,8 @@ def stalls(events: DataFrame, gap_ms: int = STALL_MS, hidden: DataFrame | None =
     if hidden is not None:
         away = hidden.select(F.col("job_id").alias("j"), "from_ms", "to_ms")
         both = out.join(away, (F.col("job_id") == F.col("j")) & (F.col("from_ms") < F.col("after_ms") + F.col("gap")) & (F.col("to_ms") > F.col("after_ms")), "left")
-        unseen = F.greatest(F.lit(0), F.least("to_ms", F.col("after_ms") + F.col("gap")) - F.greatest("from_ms", "after_ms"))
+        # Where no hidden span meets a gap there is none to take off: least and greatest would skip the nulls.
+        unseen = F.when(F.col("from_ms").isNotNull(), F.greatest(F.lit(0), F.least("to_ms", F.col("after_ms") + F.col("gap")) - F.greatest("from_ms", "after_ms")))
         out = both.groupBy("job_id", "seq", "after_ms", "gap").agg(F.coalesce(F.sum(unseen), F.lit(0)).alias("away")).withColumn("gap", F.col("gap") - F.col("away")).where(F.col("gap") > gap_ms)
     return out.select("job_id", "after_ms", "gap")
 
