@@ -39,6 +39,8 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ]
     rows = materialise(slim.select("doc_id", "part", mask_of(fails).alias("mask"), F.sha2("text", 256).alias("digest")), "masks")
     first = rows.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    # Written, so that both sides of the join are shuffled to it, and Spark's skew join can split a common text's rows.
+    first = materialise(first, "first")
     said = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     both = rows.join(first.select("d", "first"), F.col("digest") == F.col("d"), "left").join(said, F.col("doc_id") == F.col("id"), "left")
     later = F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
