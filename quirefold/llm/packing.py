@@ -217,11 +217,11 @@ def powers_of_two(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, group_tokens: int = GROUP_TOKENS, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, group_tokens: int = GROUP_TOKENS, with_ids: bool = False, remembered: int = REMEMBERED, shared: bool = True) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     docs needs ``doc_id`` and ``text``; other columns are ignored. A null or empty text is the end id alone.
-    ``remembered``: words that a process remembers the ids of, some 250 bytes each; it changes the time, not the result. A repeated row is packed as often as it stands there. Sequences hold ``window`` ids, or, at the end of a task, a power of
+    ``remembered``: words that a process remembers the ids of, some 250 bytes each; ``shared``: whether tasks that follow one another in a process share them, so that it keeps them; both change the time, not the result. A repeated row is packed as often as it stands there. Sequences hold ``window`` ids, or, at the end of a task, a power of
     two, so nothing is padded. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
@@ -231,7 +231,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if tokenizer_path is None:
             import public_tokenizers
 
-        encode = encoder(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), remembered)
+        encode = (encoder if shared else WordEncoder)(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), remembered)
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
         held: list[tuple[object, np.ndarray, int, int]] = []  # doc_id, ids, where they start, the document's number of ids
