@@ -33,8 +33,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences; the workers, which the stages before have used too, remember fewer words."""
-    return pack_documents(docs, remembered=1 << 17)
+    """Pieces of documents in sequences; the workers, which other stages use too, remember fewer words, and none of them when a task has ended."""
+    return pack_documents(docs, remembered=1 << 17, shared=False)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixing", mixing), ("packing", packing)]
