@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.functions import containers, scalars, searching
+from quirefold.functions import containers, scalars
 from quirefold.operators import content, drivers, inventory, ladder, split
 from quirefold.plans.catalogue import BUDGETS, EVENTS, IMAGES, PAGES, PLACED, PREDICTED, TOTAL, base, inventory_of, plans_of, query, totals_of, versions_of
 from quirefold.sources import objects
@@ -230,19 +230,6 @@ def s10_picture_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.picture_document(pages).select("deck_id", F.length("content").alias("bytes"), F.sha1("content").alias("digest"))
 
 
-#: Sizes and scores of encodings of an image at seven distances, and what it would be without a search.
-CURVES = """SELECT deck_id, ref, width, height, bytes, transform(array(0.25D, 0.5D, 1D, 1.5D, 2.5D, 4D, 8D), d -> named_struct('distance', d, 'bytes', bytes * pow(d, -0.7D), 'score', 84D - ref + -12D * ln(d))) AS points,
-    CASE WHEN ref % 3 > 0 THEN named_struct('bytes', bytes * (0.5D + ref % 5 * 0.2D), 'score', 70D + ref) END AS today FROM ({images}) i"""
-
-
-@query()
-def o15_o17_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = base(spark, sf_dir, CURVES)
-    quality = F.lit(0.72) + F.col("ref") % 3 * 0.06
-    how = searching.written_column(F.col("points"), scalars.looks_target(quality), scalars.looks_distance(quality), F.col("width"), F.col("height"), F.col("today"))
-    return c.select("deck_id", "ref", how.alias("w")).select("deck_id", "ref", "w.how", F.round("w.distance", 6).alias("distance"), F.round("w.bytes", 2).alias("bytes"))
-
-
 HIDDEN = f"SELECT job_id, min(ts_ms) + 1000 AS from_ms, min(ts_ms) + 90000 AS to_ms FROM ({EVENTS}) h GROUP BY job_id"
 
 

@@ -195,32 +195,6 @@ def test_filling_equals_one_move_at_a_time(spark):
     assert sum(m > 0 for _, m, _ in got.values()) > 20
 
 
-def test_searches():
-    from math import log
-
-    from quirefold.functions import searching
-
-    rng = random.Random(9)
-    for _ in range(300):
-        at, slope, weight = rng.uniform(60, 95), rng.uniform(-30, -4), rng.uniform(1e4, 1e6)
-        measure = lambda d: (weight * d ** -0.7, at + slope * log(d))  # noqa: E731, B023
-        target, guess = rng.uniform(55, 90), rng.uniform(0.5, 4)
-        found, steps = searching.search(measure, target, guess)
-        assert 1 <= steps <= 6 and 0.25 <= found.distance <= 8 and (found.size, found.score) == measure(found.distance)
-        if measure(0.25)[1] >= target + 1 and measure(8)[1] < target:
-            assert found.score >= target and found.score - target <= 2.5
-        cap, start = weight * rng.uniform(0.05, 0.9), (0.5, measure(0.5)[0])
-        if start[1] > cap:
-            under = searching.fit_under(lambda d: measure(d)[0], cap, start)  # noqa: B023
-            assert under is None or under[1] <= cap
-            assert (under is not None) or measure(25)[0] > cap
-    curve = searching.on_curve([(1.0, 100.0, 90.0), (2.0, 50.0, 80.0)])
-    assert curve(0.5) == (100.0, 90.0) and curve(3.0) == (50.0, 80.0) and abs(curve(2**0.5)[0] - 5000**0.5) < 1e-9
-    assert searching.written(curve, 85.0, 1.5, 50, 5, None) == ("table", 1.5, curve(1.5)[0])
-    assert searching.written(curve, 85.0, 1.5, 10_000, 100, (10.0, 99.0)) == ("today", None, 10.0)
-    assert searching.written(curve, 85.0, 1.5, 10_000, 100, None)[0] == "search"
-
-
 def test_formats_of_exact_halves(spark):
     rows = spark.createDataFrame([(1_005_000,), (1_045,), (1_125,), (12_250,), (2_675,), (999_999,), (100_500,), (5_000_000_000,)], "n long")
     assert [r[0] for r in rows.select(scalars.format_bytes(F.col("n"))).collect()] == ["1.00 MB", "1.04 KB", "1.13 KB", "12.3 KB", "2.67 KB", "1000 KB", "101 KB", "5.00 GB"]
