@@ -11,8 +11,8 @@ from quirefold.functions.scalars import message_bytes
 from quirefold.operators import flatten, inventory, ladder, split
 from quirefold.sources.shared import checkpointed
 
-# What a lossless rewrite must leave to be worth trying, how often flattening tries again, and how far it aims under the budget.
-LOSSLESS_ROOM, FLATTEN_TRIES, FLATTEN_AIM = 1.0, 3, 0.985
+# How many files flattening writes, how far it aims under the budget, by what share of the budget it lowers its aim besides what a file was over, and what a page takes besides its picture.
+FLATTEN_TRIES, FLATTEN_AIM, FLATTEN_MARGIN, PAGE_OVERHEAD = 3, 0.985, 0.005, 400
 #: Rows of one table of parameters that a grid takes.
 MOST_SETTINGS = 10_000
 
@@ -54,21 +54,25 @@ def compress_plan(images: DataFrame, plans: DataFrame, outputs: DataFrame, cover
 
 
 def flatten_plan(versions: DataFrame, decks: DataFrame, tries: int = FLATTEN_TRIES) -> DataFrame:
-    """deck_id, page, version, bytes, round, fits: versions of pages whose file, with what a container adds, is within the budget.
+    """deck_id, page, version, bytes, round, fits: versions of pages, and whether the file that holds them is within the budget.
 
-    decks: deck_id, budget, overhead (bytes of the container), growth (by how much a written file is larger than its parts promise, 1.0 if not at all). A written file over the budget lowers the
-    target by what it is over, at most ``tries`` times; only decks that are still over go on.
+    decks: deck_id, budget, overhead (bytes of the container), growth (by how much a written file is larger than its parts promise, 1.0 if not at all). Versions are chosen for a target a little under the budget, each with
+    what a page of a container usually takes, and a file is written. One that comes out over the budget, though the choice kept to its target, lowers the target by what it is over and a little more; there are
+    ``tries`` files at most, and only decks that are still over go on.
     """
-    open_ = decks.select("deck_id", "budget", "overhead", "growth", (F.col("budget") * FLATTEN_AIM - F.col("overhead")).alias("target"))
+    heavier = versions.withColumn("bytes", F.col("bytes") + PAGE_OVERHEAD)
+    open_ = decks.select("deck_id", "budget", "overhead", "growth", (F.col("budget") * FLATTEN_AIM).alias("target"))
     done = []
-    for n in range(tries + 1):
-        chosen = flatten.choose_versions(versions.join(open_.select("deck_id"), "deck_id", "left_semi"), open_.select("deck_id", F.col("target").alias("budget")))
-        written = chosen.join(open_, "deck_id").withColumn("written", (F.sum("bytes").over(Window.partitionBy("deck_id")) * F.col("growth") + F.col("overhead")))
+    for n in range(tries):
+        chosen = flatten.choose_versions(heavier.join(open_.select("deck_id"), "deck_id", "left_semi"), open_.select("deck_id", F.col("target").alias("budget")))
+        chosen = chosen.withColumn("bytes", F.col("bytes") - PAGE_OVERHEAD).withColumnRenamed("fits", "kept_to")
+        written = chosen.join(open_, "deck_id").withColumn("written", F.sum("bytes").over(Window.partitionBy("deck_id")) * F.col("growth") + F.col("overhead"))
         written = checkpointed(written.withColumn("over", F.col("written") - F.col("budget")))
-        last = n == tries
-        done.append((written if last else written.where("over <= 0")).select("deck_id", "page", "version", "bytes", F.lit(n).alias("round"), (F.col("over") <= 0).alias("fits")))
-        open_ = written.where("over > 0").select("deck_id", "budget", "overhead", "growth", (F.col("target") - F.col("over")).alias("target")).distinct()
-        if last or open_.isEmpty():
+        again = (F.col("over") > 0) & F.col("kept_to") & F.lit(n + 1 < tries)
+        done.append(written.where(~again).select("deck_id", "page", "version", "bytes", F.lit(n).alias("round"), (F.col("over") <= 0).alias("fits")))
+        lower = F.col("target") - F.col("over") - F.col("budget") * FLATTEN_MARGIN
+        open_ = written.where(again).select("deck_id", "budget", "overhead", "growth", lower.alias("target")).distinct()
+        if n + 1 == tries or open_.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)
 

@@ -258,27 +258,28 @@ def test_flattening_tries_again_with_a_lower_target(spark):
     from quirefold.operators import drivers
 
     rng, rows, decks, expected = random.Random(12), [], [], {}
-    for deck in range(25):
+    for deck in range(60):
         pages = []
         for page in range(rng.randint(1, 5)):
             sizes, clear = sorted((rng.randint(100, 10_000) for _ in range(6)), reverse=True), sorted((rng.random() * 0.3 + 0.7 for _ in range(6)), reverse=True)
             pages.append((sizes, clear))
             rows += [(deck, page, v, sizes[v], clear[v]) for v in range(6)]
-        budget, growth = sum(p[0][0] for p in pages) * rng.uniform(0.3, 1.1), rng.choice((1.0, 1.03, 1.2))
+        budget, growth = sum(p[0][0] + 300 for p in pages) * rng.uniform(0.1, 1.1), rng.choice((1.0, 1.03, 1.2, 1.4))
         decks.append((deck, budget, 50.0, growth))
-        target = budget * drivers.FLATTEN_AIM - 50
-        for n in range(4):
-            picked = greedy(pages, target)
+        # Three files at most; a page takes 400 bytes besides its picture; half a hundredth of the budget more than what a file is over comes off.
+        target, heavier = budget * 0.985, [([s + 400 for s in sizes], clear) for sizes, clear in pages]
+        for n in range(3):
+            picked = greedy(heavier, target)
             over = sum(pages[p][0][v] for p, v in enumerate(picked)) * growth + 50 - budget
-            if over <= 0 or n == 3:
+            if over <= 0 or n == 2 or sum(heavier[p][0][v] for p, v in enumerate(picked)) > target:
                 expected[deck] = (picked, n, over <= 0)
                 break
-            target -= over
+            target -= over + budget * 0.005
     found = drivers.flatten_plan(spark.createDataFrame(rows, "deck_id long, page int, version int, bytes long, clarity double"), spark.createDataFrame(decks, "deck_id long, budget double, overhead double, growth double"))
     got = {}
     for r in found.collect():
         got.setdefault(r["deck_id"], ({}, r["round"], r["fits"]))[0][r["page"]] = r["version"]
-    assert {d: ([v[p] for p in sorted(v)], n, fits) for d, (v, n, fits) in got.items()} == expected and {n for _, n, _ in got.values()} > {0}
+    assert {d: ([v[p] for p in sorted(v)], n, fits) for d, (v, n, fits) in got.items()} == expected and {(n, fits) for _, n, fits in got.values()} >= {(0, True), (0, False), (1, True), (2, True)}
 
 
 def test_picture_document_can_be_found_by_its_offsets(spark):
