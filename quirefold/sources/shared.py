@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/quirefold-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
