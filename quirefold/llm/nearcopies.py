@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import simhash
-from quirefold.llm.common import WordHashes, bound_batches, connected_components, free_names, materialise, mix, shingle_hashes, shuffle_width
+from quirefold.llm.common import WordHashes, bound_batches, connected_components, free_names, materialise, mix, releasing, shingle_hashes, shuffle_width
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -79,7 +79,7 @@ def sketched(texts: DataFrame) -> DataFrame:
                 [b.column("node"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "fp", "keys", "sketch"]
             )
 
-    return texts.mapInArrow(run, "node long, fp long, keys array<long>, sketch binary")
+    return texts.mapInArrow(releasing(run), "node long, fp long, keys array<long>, sketch binary")
 
 
 def group_pairs(sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -130,7 +130,7 @@ def banded_pairs(sketches: DataFrame, similarity: float, block: int) -> DataFram
             a, b = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["lead", "node"])
 
-    return dealt.mapInArrow(run, "lead long, node long")
+    return dealt.mapInArrow(releasing(run), "lead long, node long")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,7 +187,7 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 alike.append(both >= similarity * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column("lead"), b.column("node")], ["lead", "node"]).filter(pa.array(alike, pa.bool_()))
 
-    return sided.mapInArrow(run, "lead long, node long")
+    return sided.mapInArrow(releasing(run), "lead long, node long")
 
 
 def near_links(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quirefold.llm.common import bound_batches
+from quirefold.llm.common import bound_batches, releasing
 
 WINDOW = 2048
 #: Tokens that a task holds at a time.
@@ -267,7 +267,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
             yield pack(True)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), schema)
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

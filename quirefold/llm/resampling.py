@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bound_batches, free_names, join_few, kth_largest, materialise, no_smaller
+from quirefold.llm.common import bound_batches, free_names, join_few, kth_largest, materialise, no_smaller, releasing
 
 CELLS = 1 << 15
 SMOOTHING = 0.5
@@ -60,7 +60,7 @@ def ngram_counts(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[0][cells]), pa.array(total[1][cells])], ["cell", "n", "t"])
 
     out = np.zeros((2, CELLS), dtype=np.int64)
-    found = rows.select("text", "target").mapInArrow(run, "cell long, n long, t long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
+    found = rows.select("text", "target").mapInArrow(releasing(run), "cell long, n long, t long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
     out[0, found["cell"]], out[1, found["cell"]] = found["n"], found["t"]
     return out
 
@@ -84,7 +84,7 @@ def with_log_weight(rows: DataFrame, ratios: np.ndarray, keep: tuple[str, ...])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(w, pa.float64())], [*keep, "log_weight"])
 
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "log_weight double"])
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*keep, "text").mapInArrow(releasing(run), schema)
 
 
 def marked(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), most_broadcast: int = 1_000_000) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import bound_batches, connected_components, free_names, materialise, shuffle_width
+from quirefold.llm.common import bound_batches, connected_components, free_names, materialise, releasing, shuffle_width
 
 BITS = 64
 #: Index rows of one bucket that one task takes; larger buckets are cut into blocks that meet pairwise.
@@ -63,7 +63,7 @@ def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fps.view(np.int64))], [*kept, "fp"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "fp long"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -82,7 +82,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(i * BITS + j, -1)), pa.array(np.append(total[i, j], rows))], ["cell", "n"])
 
     out, rows = np.zeros((BITS, BITS)), 0
-    for cell, n in fps.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for cell, n in fps.select("fp").mapInArrow(releasing(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         if cell < 0:
             rows = n
         else:
@@ -255,7 +255,7 @@ def fingerprint_links(fps: DataFrame, rows: int, both: np.ndarray, max_distance:
                 val, n = np.unique(segment(v, bits), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(val), i)), pa.array(val), pa.array(n)], ["part", "value", "n"])
 
-    found = fps.mapInArrow(values, "part long, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
+    found = fps.mapInArrow(releasing(values), "part long, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
     counts = [np.zeros(1 << len(bits), dtype=np.int64) for bits in groups]
     for i in range(parts):
         own = found[found["part"] == i]
@@ -304,8 +304,8 @@ def fingerprint_links(fps: DataFrame, rows: int, both: np.ndarray, max_distance:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     n = shuffle_width(spark)
-    dealt = fps.mapInArrow(probes, "bucket long, fp long, flag byte").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(verify, "a long, b long")
+    dealt = fps.mapInArrow(releasing(probes), "bucket long, fp long, flag byte").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(releasing(verify), "a long, b long")
 
 
 def mix_block(fp: np.ndarray) -> np.ndarray:
