@@ -1,4 +1,4 @@
-"""Whole plans for decks: which step makes a deck fit, flattening with retries, what a result says, and grids of settings to measure."""
+"""Whole plans for decks: flattening with retries, what a result says, and grids of settings to measure."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.scalars import message_bytes
-from quirefold.operators import flatten, inventory, ladder, split
+from quirefold.operators import flatten, split
 from quirefold.sources.shared import checkpointed
 
 # How many files flattening writes, how far it aims under the budget, by what share of the budget it lowers its aim besides what a file was over, and what a page takes besides its picture.
@@ -17,42 +17,6 @@ FLATTEN_TRIES, FLATTEN_AIM, FLATTEN_MARGIN, PAGE_OVERHEAD = 3, 0.985, 0.005, 400
 MOST_SETTINGS = 10_000
 
 
-def compress_plan(images: DataFrame, plans: DataFrame, outputs: DataFrame, coverage: DataFrame, streams: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deck_id, step, rung, bytes, split_reason) and (deck_id, ref, rung): how each deck comes to fit, and the version of each image.
-
-    files: deck_id, file_bytes, budget. Steps, the first that fits: ``original`` as it is; ``lossless``, by what the streams' filters promise; a rung of the ladder, with the sizes measured so far
-    (outputs) and predictions for the rest, filled up with sharper versions; ``split-needed`` with the sharpest rung that takes no more parts than the last would.
-    images: deck_id, ref, bytes, kind; plans: as ``ladder.plan_images``; coverage: deck_id, ref, coverage; streams: deck_id, filters, bytes.
-    """
-    calibrated = ladder.predict(plans, ladder.calibrate(plans, outputs))
-    own = outputs.select("deck_id", "ref", "rung", F.col("bytes").cast("double").alias("measured"))
-    sized = calibrated.join(own, ["deck_id", "ref", "rung"], "left").withColumn("size", F.coalesce("measured", "predicted"))
-    eligible = images.where("kind IS NOT NULL").groupBy("deck_id").agg(F.sum("bytes").alias("photos"), F.count("*").alias("n"))
-    weight = ladder.weight_of(images, files)
-    base = files.join(eligible, "deck_id", "left").na.fill(0, ["photos"]).select("deck_id", "file_bytes", "budget", (F.col("file_bytes") - F.col("photos")).alias("rest"))
-    totals = sized.where("kind IS NOT NULL") if "kind" in sized.columns else sized.join(images.where("kind IS NOT NULL").select("deck_id", "ref"), ["deck_id", "ref"], "left_semi")
-    totals = totals.groupBy("deck_id", "rung").agg(F.sum("size").alias("photos")).join(base, "deck_id").select("deck_id", "rung", (F.col("photos") + F.col("rest")).alias("total"))
-    gate = ladder.try_gate(totals, files.select("deck_id", "budget")).join(totals, ["deck_id", "rung"])
-    fits = gate.where("built").join(files.select("deck_id", "budget"), "deck_id").where("total <= budget").groupBy("deck_id").agg(F.min("rung").alias("at"), F.min_by("total", "rung").alias("fitted_bytes"))
-    need = F.ceil(F.col("total") / (F.col("budget") * ladder.SPLIT_FILL))
-    last = totals.join(files.select("deck_id", "budget"), "deck_id").withColumn("need", need).withColumn("least", F.max_by("need", "rung").over(Window.partitionBy("deck_id")))
-    parts = last.where("need <= least").groupBy("deck_id").agg(F.min("rung").alias("split_rung"), F.min_by("total", "rung").alias("split_bytes"))
-    saving = inventory.saving_guess(streams, files)
-    each = files.join(saving, "deck_id").join(fits, "deck_id", "left").join(parts, "deck_id", "left").join(weight, "deck_id")
-    lossless = F.col("file_bytes") - F.col("saving")
-    step = F.when(F.col("file_bytes") <= F.col("budget"), "original").when(lossless <= F.col("budget") * LOSSLESS_ROOM, "lossless").when(F.col("at").isNotNull(), "images").otherwise("split-needed")
-    each = checkpointed(each.withColumn("step", step).withColumn("lossless", lossless))
-    decks = each.where("step = 'images'").select("deck_id", "at", "fitted_bytes", "budget", F.lit(0.0).alias("drift"))
-    there = sized.where("format IS NOT NULL").select("deck_id", "ref", "rung", F.col("size").alias("bytes"), F.when(F.col("size") == F.col("bytes"), F.lit("original")).otherwise(F.concat_ws("x", "target_width", "target_height", "quality")).alias("version"))
-    chosen = ladder.fill_budget(there, images.where("kind IS NOT NULL").select("deck_id", "ref", "bytes").join(coverage, ["deck_id", "ref"]), decks)
-    filled = chosen.groupBy("deck_id").agg(F.max("bytes").alias("filled"))
-    out = each.join(filled, "deck_id", "left")
-    rung = F.when(F.col("step") == "images", F.col("at")).when(F.col("step") == "split-needed", F.col("split_rung"))
-    size = F.when(F.col("step") == "original", F.col("file_bytes").cast("double")).when(F.col("step") == "lossless", F.col("lossless")).when(F.col("step") == "images", F.coalesce("filled", "fitted_bytes")).otherwise(F.coalesce("split_bytes", "lossless"))
-    reason = F.when(F.col("step") == "split-needed", inventory.split_reason(F.col("kept"), F.col("other"), F.col("budget")))
-    return out.select("deck_id", "step", rung.cast("int").alias("rung"), size.alias("bytes"), reason.alias("split_reason")), chosen.select("deck_id", "ref", "rung")
-
-
 def flatten_plan(versions: DataFrame, decks: DataFrame, tries: int = FLATTEN_TRIES) -> DataFrame:
     """deck_id, page, version, bytes, round, fits: versions of pages, and whether the file that holds them is within the budget.
 

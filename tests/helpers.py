@@ -1,5 +1,6 @@
 """Runs a query and its SQL side by side."""
 
+import heapq
 import os
 
 import duckdb
@@ -30,3 +31,34 @@ def compare(query, sql, spark, sf_dir):
     names = told.columns
     expected = [dict(zip(names, r, strict=True)) for r in told.fetchall()]
     assert canonical([r.asDict() for r in found.collect()], columns) == canonical(expected, columns)
+
+
+def heap_fill(images, at, fitted, budget, drift):
+    """Filling from its rule: every image has one open move, to its nearest sharper rung with another version; a heap gives the cheapest per rung and page. An image whose move does not fit has none from then on.
+
+    images: ref to (own bytes, coverage, {rung: (bytes, version)}). The file may come out ``drift`` larger than its parts; then the aim is lower by as much, once. (rungs, moves, bytes).
+    """
+    stays = {r: at for r in images}
+
+    def move(ref, rung):
+        own, cover, stored = images[ref]
+        size, version = stored.get(rung, (own, None))
+        sharper = [k for k in stored if k < rung and stored[k][1] != version]
+        if sharper:
+            extra = stored[max(sharper)][0] - size
+            heapq.heappush(open_, (extra / ((rung - max(sharper)) * cover), ref, max(sharper), extra))
+
+    for aim in (budget * 0.985, budget * 0.985 - drift):
+        open_, now, total, moves = [], dict(stays), fitted, 0
+        for r in images:
+            move(r, at)
+        while open_:
+            _, r, to, extra = heapq.heappop(open_)
+            if total + extra <= aim:
+                now[r], total, moves = to, total + extra, moves + 1
+                move(r, to)
+        if not moves:
+            return stays, 0, fitted
+        if total + drift <= budget:
+            return now, moves, total + drift
+    return stays, 0, fitted

@@ -1,5 +1,6 @@
 import random
 
+from helpers import heap_fill
 from pyspark.sql import functions as F
 
 from quirefold.functions import pixels, scalars
@@ -142,35 +143,6 @@ def test_stream_never_falls(spark, tmp_path):
     assert [(r["ts_ms"], r["permille"]) for r in spark.sql("SELECT * FROM sent ORDER BY ts_ms").collect()] == [(0, 40), (100, 60), (120, 470), (300, 470)]
 
 
-def plain_fill(images, at, fitted, budget, drift):
-    """Brute force: of all moves that are open the cheapest, one at a time; a second time with a lower target."""
-
-    def fill(target):
-        now, total, stuck, moved = {r: at for r in images}, fitted, set(), 0
-        while True:
-            ways = []
-            for r, (own, cover, stored) in images.items():
-                have = stored.get(now[r], (own, None))
-                to = next((k for k in range(now[r] - 1, -1, -1) if k in stored and stored[k][1] != have[1]), None)
-                if r not in stuck and to is not None:
-                    ways.append(((stored[to][0] - have[0]) / ((now[r] - to) * cover), r, to, stored[to][0] - have[0]))
-            if not ways:
-                return now, total, moved
-            _, r, to, extra = min(ways)
-            if total + extra > target:
-                stuck.add(r)
-            else:
-                now[r], total, moved = to, total + extra, moved + 1
-
-    for target in (budget * 0.985, budget * 0.985 - drift):
-        now, total, moved = fill(target)
-        if not moved:
-            break
-        if total + drift <= budget:
-            return now, moved, total + drift
-    return {r: at for r in images}, 0, fitted
-
-
 def test_filling_equals_one_move_at_a_time(spark):
     rng, versions, images, decks, expected = random.Random(8), [], [], [], {}
     for deck in range(80):
@@ -183,7 +155,7 @@ def test_filling_equals_one_move_at_a_time(spark):
         fitted = float(sum(v[2].get(at, (v[0],))[0] for v in own.values()) + 100)
         budget, drift = fitted * rng.uniform(1.0, 2.5), rng.choice((0.0, 0.0, fitted * 0.05, fitted))
         decks.append((deck, at, fitted, budget, drift))
-        expected[deck] = plain_fill(own, at, fitted, budget, drift)
+        expected[deck] = heap_fill(own, at, fitted, budget, drift)
     found = ladder.fill_budget(
         spark.createDataFrame(versions, "deck_id long, ref long, rung int, bytes long, version string"), spark.createDataFrame(images, "deck_id long, ref long, bytes long, coverage double"),
         spark.createDataFrame(decks, "deck_id long, at int, fitted_bytes double, budget double, drift double"),
@@ -200,60 +172,6 @@ def test_formats_of_exact_halves(spark):
     assert [r[0] for r in rows.select(scalars.format_bytes(F.col("n"))).collect()] == ["1.00 MB", "1.04 KB", "1.13 KB", "12.3 KB", "2.67 KB", "1000 KB", "101 KB", "5.00 GB"]
 
 
-def test_compress_plan_equals_plain_steps(spark):
-    from math import ceil
-
-    from quirefold.operators import drivers
-
-    rng, images, plans, outputs, files, expected, kept_rungs = random.Random(10), [], [], [], [], {}, {}
-    shares = [r[3] for r in ladder.RUNGS]
-    for deck in range(60):
-        own, measured, sums = {}, {}, {}
-        for ref in range(rng.randint(1, 5)):
-            size, kind = rng.randint(20_000, 900_000), rng.choice(("jpeg", "jpeg", "raw", None))
-            images.append((deck, ref, size, kind, ["/FlateDecode"], float(rng.choice((1, 2)))))
-            if kind:
-                own[ref] = (size, images[-1][5], {k: size * (0.95 - 0.1 * k) for k in range(6)})
-                for k in range(6):
-                    plans.append((deck, ref, k, "jpeg", True, True, size, shares[k], own[ref][2][k], 2000 - 100 * k, 1000, 0.8))
-                    if rng.random() < 0.4:
-                        out = int(size * rng.uniform(0.1, 0.9))
-                        measured[ref, k] = out
-                        outputs.append((deck, ref, k, out))
-                        b, a = sums.get(k, (0, 0))
-                        sums[k] = (b + own[ref][2][k], a + out)
-        heavy, photos = sum(i[2] for i in images if i[0] == deck), sum(i[2] for i in images if i[0] == deck and i[3])
-        file = heavy + rng.randint(0, 100_000)
-        budget = file * rng.choice((0.15, 0.4, 0.6, 0.8, 0.97, 1.1))
-        files.append((deck, file, budget))
-        size = {(r, k): float(measured.get((r, k), 0)) or (lambda p: p if p < v[0] else float(v[0]))(v[2][k] * (sums[k][1] / sums[k][0] if k in sums else shares[k])) for r, v in own.items() for k in range(6)}
-        total = [file - photos + sum(size[r, k] for r in own) for k in range(6)] if own else []
-        lossless = file - heavy * 0.05 - max(0, file - heavy) * 0.5
-        fitting = [k for k, t in enumerate(total) if t <= budget]
-        if file <= budget:
-            expected[deck] = ("original", None, float(file), None)
-        elif lossless <= budget:
-            expected[deck] = ("lossless", None, lossless, None)
-        elif fitting:
-            stored = {r: (v[0], v[1], {k: (size[r, k], "original" if size[r, k] == v[0] else str(k)) for k in range(6)}) for r, v in own.items()}
-            now, _, filled = plain_fill(stored, fitting[0], total[fitting[0]], budget, 0.0)
-            expected[deck] = ("images", fitting[0], filled, None)
-            kept_rungs.update({(deck, r): k for r, k in now.items()})
-        else:
-            kept, other = heavy - photos, file - heavy
-            why = "quality-floor" if kept + other < budget * 0.9 else "kept-images" if kept > other else "not-photos"
-            need = [ceil(t / (budget * 0.92)) for t in total]
-            at = next((k for k, n in enumerate(need) if n <= need[-1]), None)
-            expected[deck] = ("split-needed", at, total[at] if at is not None else lossless, why)
-    i = spark.createDataFrame(images, "deck_id long, ref long, bytes long, kind string, filters array<string>, coverage double")
-    p = spark.createDataFrame(plans, "deck_id long, ref long, rung int, format string, photo boolean, resized boolean, bytes long, default_share double, base double, target_width int, target_height int, quality double")
-    o, f = spark.createDataFrame(outputs, "deck_id long, ref long, rung int, bytes long"), spark.createDataFrame(files, "deck_id long, file_bytes long, budget double")
-    found, chosen = drivers.compress_plan(i.drop("coverage"), p, o, i.select("deck_id", "ref", "coverage"), i.select("deck_id", "filters", "bytes"), f)
-    got = {r["deck_id"]: (r["step"], r["rung"], round(r["bytes"], 4), r["split_reason"]) for r in found.collect()}
-    assert got == {d: (s, k, round(b, 4), w) for d, (s, k, b, w) in expected.items()}
-    assert {(r["deck_id"], r["ref"]): r["rung"] for r in chosen.collect()} == kept_rungs and len({s for s, *_ in got.values()}) == 4
-
-
 def test_flattening_tries_again_with_a_lower_target(spark):
     from quirefold.operators import drivers
 
