@@ -104,3 +104,8 @@ def setting_near(points: DataFrame, wanted: DataFrame, keys: list[str], within:
     asked = wanted.withColumn("__cell", F.explode(F.array(cell(F.col("wanted") - within), cell(F.col("wanted") + within)))).distinct()
     found = points.withColumn("__cell", cell(F.col("setting"))).join(asked, [*keys, "__cell"])
     return found.where(F.abs(F.col("setting") - F.col("wanted")) < within).drop("__cell").distinct()
+
+
+def other_families(rows: DataFrame, baseline: str) -> DataFrame:
+    """family: all that there are but the baseline."""
+    return rows.select("family").distinct().where(F.col("family") != baseline)

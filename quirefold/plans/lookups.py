@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import containers, scalars, wording
-from quirefold.operators import evaluation, flatten, inventory, ladder, measures, placing, split
-from quirefold.plans.catalogue import BUDGETS, HULL, IMAGES, PAGES, PLACED, PLANS, POINTS, PREDICTED, TOTAL, SIZES, VERSIONS, base, fixed_sql, plans_of, query, totals_of, versions_of
+from quirefold.operators import drivers, evaluation, flatten, inventory, ladder, measures, placing, split
+from quirefold.plans.catalogue import BUDGETS, HULL, IMAGES, PAGES, PLACED, PLANS, POINTS, PREDICTED, SIZES, TOTAL, VERSIONS, base, fixed_sql, plans_of, query, totals_of, versions_of
 from quirefold.streaming import progress
 
 EVENTS = "SELECT event_id, user_id, event_type, value, CAST(floor(abs(value) * 997) AS BIGINT) AS n FROM {events} WHERE value IS NOT NULL"
@@ -300,3 +300,57 @@ def j12_setting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({VERSIONS}) x LEFT JOIN h USING (deck_id, page, version)""")
 def o13_keep_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.keep_usable(versions_of(spark, sf_dir))
+
+
+#: Images with the pages that name them and those that lead to them, some with neither.
+PAGED = "SELECT deck_id, ref, CASE WHEN ref % 3 = 0 THEN ref + 1 END AS own, CASE WHEN ref % 2 = 0 THEN ref + 2 END AS far FROM ({images}) i"
+
+
+@query(f"""SELECT deck_id, ref, CAST(first_page AS INT) AS first_page, CAST(row_number() OVER (PARTITION BY deck_id ORDER BY first_page, ref) AS INT) AS place
+    FROM (SELECT p.deck_id, p.ref, coalesce(least(d.page, coalesce(own, far)), 1) AS first_page FROM ({PAGED}) p LEFT JOIN (SELECT deck_id, ref, min(page) AS page FROM ({PLACED}) q GROUP BY 1, 2) d USING (deck_id, ref)) x""")
+def a2_t1_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<int>")
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("int"))).otherwise(none)
+    i = base(spark, sf_dir, PAGED).select("deck_id", "ref", one("own").alias("pages"), one("far").alias("reach"))
+    return ladder.first_pages(i, base(spark, sf_dir, PLACED))
+
+
+@query(f"""SELECT deck_id, count(*) FILTER (WHERE resized) AS resized, count(*) FILTER (WHERE NOT resized) AS resaved, count(*) FILTER (WHERE resized IS NULL) AS untouched
+    FROM (SELECT i.deck_id, i.ref, p.resized FROM ({{images}}) i LEFT JOIN {PLANS} p ON p.deck_id = i.deck_id AND p.ref = i.ref AND p.rung = i.ref % 6 AND p.format IS NOT NULL AND (i.deck_id + i.ref) % 3 > 0) x GROUP BY 1""")
+def p18_chosen_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = plans_of(spark, sf_dir)
+    choice = base(spark, sf_dir, "SELECT deck_id, ref, CAST(ref % 6 AS INT) AS rung FROM ({images}) i")
+    return ladder.image_stats(choice, plans.where("format IS NOT NULL AND (deck_id + ref) % 3 > 0").select("deck_id", "ref", "rung", "resized"), choice)
+
+
+@query(f"SELECT deck_id, count(*) AS pages, min(clarity)::DOUBLE AS clarity, max(version) AS rung FROM ({VERSIONS}) v WHERE version = (deck_id + page) % 8 GROUP BY 1")
+def a14_choice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = versions_of(spark, sf_dir).where("version = (deck_id + page) % 8").withColumn("rung", F.col("version"))
+    return flatten.choice_summary(chosen).withColumn("clarity", F.col("clarity").cast("double"))
+
+
+@query("SELECT deck_id, round(coalesce(avg(CASE WHEN is_mask THEN bytes END), 2000.0)::DOUBLE, 6) AS pace FROM ({images}) i GROUP BY 1")
+def a22_page_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = base(spark, sf_dir, IMAGES)
+    return flatten.page_pace(i, i.where("is_mask").select("deck_id", F.col("bytes").alias("ms"))).withColumn("pace", F.round("pace", 6))
+
+
+@query("SELECT deck_id, string_agg(ref::VARCHAR, ',' ORDER BY -(width * height), ref) AS refs FROM ({images}) i GROUP BY 1")
+def t4_output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = base(spark, sf_dir, IMAGES).groupBy("deck_id").agg(F.sort_array(F.collect_list(F.struct("ref", "width", "height"))).alias("t"))
+    return per.select("deck_id", F.array_join(F.transform(ladder.largest_first(F.col("t")), lambda x: x["ref"].cast("string")), ",").alias("refs"))
+
+
+@query(f"""SELECT o_orderkey AS deck_id, array_to_string(list_sort(list_distinct(list_filter([k % 6, (k + 1) % 6], lambda x: x >= 2 OR x = 5))), ',') AS rungs, family FROM (SELECT o_orderkey, o_orderkey % 11 AS k FROM {{orders}}) o
+    CROSS JOIN (SELECT DISTINCT family FROM ({POINTS}) p WHERE family <> 'canvas q') f""")
+def d6_d7_rungs_and_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = base(spark, sf_dir, "SELECT o_orderkey AS deck_id, CAST(o_orderkey % 11 AS INT) AS k FROM {orders}")
+    rungs = ladder.worth_measuring(F.array(F.col("k") % 6, (F.col("k") + 1) % 6), F.sequence(F.lit(2), F.lit(5)), 5)
+    families = evaluation.other_families(base(spark, sf_dir, POINTS), "canvas q")
+    return drivers.settings_grid(o.select("deck_id", F.array_join(F.transform(rungs, lambda x: x.cast("string")), ",").alias("rungs")), families)
+
+
+@query(f"SELECT deck_id, ref, rung FROM (SELECT DISTINCT deck_id, ref, CAST(ref % 3 AS INT) AS rung FROM ({{images}}) a EXCEPT SELECT deck_id, ref, 1 FROM ({PLACED}) b) x")
+def d4_untried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = base(spark, sf_dir, "SELECT deck_id, ref, CAST(ref % 3 AS INT) AS rung FROM ({images}) i")
+    return ladder.untried(wanted.unionByName(wanted), base(spark, sf_dir, PLACED).withColumn("rung", F.lit(1)), ["deck_id", "ref", "rung"])

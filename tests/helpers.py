@@ -20,6 +20,7 @@ def canonical(rows, columns):
 
 
 def compare(query, sql, spark, sf_dir):
+    """Number of rows, if both give the same."""
     found = query(spark, sf_dir)
     columns = sorted(found.columns)
     con = duckdb.connect()
@@ -30,7 +31,9 @@ def compare(query, sql, spark, sf_dir):
     assert sorted(told.columns) == columns
     names = told.columns
     expected = [dict(zip(names, r, strict=True)) for r in told.fetchall()]
-    assert canonical([r.asDict() for r in found.collect()], columns) == canonical(expected, columns)
+    rows = found.collect()
+    assert canonical([r.asDict() for r in rows], columns) == canonical(expected, columns)
+    return len(rows)
 
 
 def heap_fill(images, at, fitted, budget, drift):

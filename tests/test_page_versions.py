@@ -56,10 +56,10 @@ def test_versions_equal_a_plain_loop(spark):
         return b"1234", picture
 
     synthetic.register(spark)
-    strips = spark.read.format("synthetic_pictures").options(pictures=4, width=96, height=64, kind="photo", partitions=5).load().select(F.col("picture").alias("deck"), F.lit(7).cast("long").alias("page"), "y", "samples")
+    strips = spark.read.format("synthetic_pictures").options(pictures=4, width=96, height=64, kind="noise", partitions=5).load().select(F.col("picture").alias("deck"), F.lit(7).cast("long").alias("page"), "y", "samples")
     blank = spark.createDataFrame([(50, 1, 0, None), (51, 1, 0, b"ab")], "deck long, page long, y int, samples binary")
     codecs = {"coarse": pageversions.coarse, "fails": fails, "differences": pageversions.differences}
-    found = pageversions.page_versions(strips.unionByName(blank), ["deck", "page"], RUNGS, 48, codecs, 0.9).collect()
+    found = pageversions.page_versions(strips.unionByName(blank), ["deck", "page"], RUNGS, 48, codecs, 0.6).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r["deck"], r["version"])):
         got.setdefault(r["deck"], []).append(tuple(r)[2:])
@@ -82,7 +82,7 @@ def test_versions_equal_a_plain_loop(spark):
                 clear = block_clarity(sharp, scaled(gray(back), 32, 48, 0))
                 expected.append((n, k, name, w, h, len(data), clear))
                 best, n = max(best, clear), n + 1
-            if best < 0.9:
+            if best < 0.6:
                 break
         stops.add(k)
         assert [v[:-1] for v in versions] == [e[:-1] for e in expected] and np.allclose([v[-1] for v in versions], [e[-1] for e in expected], atol=1e-9)
