@@ -13,6 +13,15 @@ from quirefold.sources.shared import checkpointed
 
 # How many files flattening writes, how far it aims under the budget, by what share of the budget it lowers its aim besides what a file was over, and what a page takes besides its picture.
 FLATTEN_TRIES, FLATTEN_AIM, FLATTEN_MARGIN, PAGE_OVERHEAD = 3, 0.985, 0.005, 400
+# Whole sentences about a result; those with numbers in them stand in ``notes``.
+SAID = {
+    "original": "Your original already fits. Nothing was changed.",
+    "signed": "Left out the Content Credentials, which sign the original’s exact bytes. The original keeps them.",
+    "lost": "Text can’t be selected or searched, and links won’t click.",
+    "kept": "Text, links and slide order are untouched.",
+    "drawings": "Trimmed drawing coordinates to finer than any screen can show.",
+    "tidy": "Tidied the file’s internal structure only. Every slide and image is unchanged.",
+}
 #: Rows of one table of parameters that a grid takes.
 MOST_SETTINGS = 10_000
 
@@ -48,20 +57,20 @@ def counted(n: Column, word: str) -> Column:
 def notes(kind: Column, resized: Column, resaved: Column, untouched: Column, long_edge: Column, drawings: Column, pages: Column, credentials: Column) -> Column:
     """What was done to a deck, as an array of sentences."""
     original, lossless = kind == "original", (kind == "lossless") | ((kind == "split-needed") & long_edge.isNull())
-    signed = F.when(F.coalesce(credentials, F.lit(False)), "Left out the Content Credentials, which sign the original’s exact bytes. The original keeps them.")
+    signed = F.when(F.coalesce(credentials, F.lit(False)), SAID["signed"])
     flat = F.array(
         F.concat(F.lit("Turned "), F.when(pages == 1, "the slide").otherwise(counted(pages, "slide")), F.lit(" into pictures"), F.when(long_edge.isNotNull(), F.concat(F.lit(", at least "), long_edge.cast("string"), F.lit(" pixels across"))).otherwise(""), F.lit(".")),
-        F.lit("Text can’t be selected or searched, and links won’t click."), signed,
+        F.lit(SAID["lost"]), signed,
     )
     images = F.array(
         F.when((resized > 0) & long_edge.isNotNull(), F.concat(F.lit("Resized "), counted(resized, "image"), F.lit(" for a "), long_edge.cast("string"), F.lit("-pixel-wide slide."))),
         F.when(resaved > 0, F.concat(F.lit("Re-saved "), counted(resaved, "photo"), F.lit(" a little lighter."))),
         F.when(untouched > 0, F.concat(counted(untouched, "image"), F.lit(" left exactly as they were."))),
-        F.when(F.coalesce(drawings, F.lit(0)) > 0, "Trimmed drawing coordinates to finer than any screen can show."),
-        F.lit("Text, links and slide order are untouched."), signed,
+        F.when(F.coalesce(drawings, F.lit(0)) > 0, SAID["drawings"]),
+        F.lit(SAID["kept"]), signed,
     )
-    tidy = F.array(F.lit("Tidied the file’s internal structure only. Every slide and image is unchanged."), signed)
-    return F.array_compact(F.when(original, F.array(F.lit("Your original already fits. Nothing was changed."))).when(kind == "flattened", flat).when(lossless, tidy).otherwise(images))
+    tidy = F.array(F.lit(SAID["tidy"]), signed)
+    return F.array_compact(F.when(original, F.array(F.lit(SAID["original"]))).when(kind == "flattened", flat).when(lossless, tidy).otherwise(images))
 
 
 def outcome(kind: Column, size: Column, target: Column, resized: Column, resaved: Column, checks: Column) -> Column:

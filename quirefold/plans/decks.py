@@ -61,15 +61,15 @@ def p9_try_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.try_gate(totals_of(spark, sf_dir), base(spark, sf_dir, BUDGETS).withColumn("budget", F.col("budget").cast("double")))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS deck_id, o_orderkey % 5 AS k, o_orderkey % 4 AS resized, o_orderkey % 3 AS resaved, o_orderkey % 2 AS untouched, CASE WHEN o_orderkey % 6 > 0 THEN 1440 + o_orderkey % 3 * 240 END AS edge, o_orderkey % 7 AS pages, CAST(floor(o_totalprice * 100) AS BIGINT) AS size FROM {orders}),
+@query(f"""WITH r AS (SELECT o_orderkey AS deck_id, o_orderkey % 5 AS k, o_orderkey % 4 AS resized, o_orderkey % 3 AS resaved, o_orderkey % 2 AS untouched, CASE WHEN o_orderkey % 6 > 0 THEN 1440 + o_orderkey % 3 * 240 END AS edge, o_orderkey % 7 AS pages, CAST(floor(o_totalprice * 100) AS BIGINT) AS size FROM {{orders}}),
     x AS (SELECT *, CASE k WHEN 0 THEN 'original' WHEN 1 THEN 'lossless' WHEN 2 THEN 'flattened' WHEN 3 THEN 'images' ELSE 'split-needed' END AS kind, deck_id % 8 = 0 AS signed FROM r)
     SELECT deck_id, CASE WHEN kind = 'flattened' THEN 'flattened' WHEN kind = 'original' THEN 'original' WHEN resized + resaved > 0 THEN 'images' ELSE 'qpdf' END AS engine,
         CASE WHEN kind = 'flattened' THEN 'strong' WHEN resized + resaved = 0 THEN 'preserved' WHEN resized > 0 THEN 'strong' ELSE 'optimized' END AS quality, CAST(ceil(size * 1.3684::DOUBLE + 524288) AS BIGINT) AS message, kind <> 'split-needed' AND size <= 15000000 AS fits,
-        CASE WHEN kind = 'original' THEN 'Your original already fits. Nothing was changed.' ELSE concat_ws('|', CASE WHEN kind = 'flattened' THEN 'Turned ' || CASE WHEN pages = 1 THEN 'the slide' ELSE pages || ' slides' END || ' into pictures' || CASE WHEN edge IS NULL THEN '' ELSE ', at least ' || edge || ' pixels across' END || '.|Text can’t be selected or searched, and links won’t click.'
-            WHEN kind = 'lossless' OR (kind = 'split-needed' AND edge IS NULL) THEN 'Tidied the file’s internal structure only. Every slide and image is unchanged.'
+        CASE WHEN kind = 'original' THEN '{drivers.SAID['original']}' ELSE concat_ws('|', CASE WHEN kind = 'flattened' THEN 'Turned ' || CASE WHEN pages = 1 THEN 'the slide' ELSE pages || ' slides' END || ' into pictures' || CASE WHEN edge IS NULL THEN '' ELSE ', at least ' || edge || ' pixels across' END || '.|{drivers.SAID['lost']}'
+            WHEN kind = 'lossless' OR (kind = 'split-needed' AND edge IS NULL) THEN '{drivers.SAID['tidy']}'
             ELSE concat_ws('|', CASE WHEN resized > 0 AND edge IS NOT NULL THEN 'Resized ' || resized || CASE WHEN resized = 1 THEN ' image' ELSE ' images' END || ' for a ' || edge || '-pixel-wide slide.' END, CASE WHEN resaved > 0 THEN 'Re-saved ' || resaved || CASE WHEN resaved = 1 THEN ' photo' ELSE ' photos' END || ' a little lighter.' END,
-                CASE WHEN untouched > 0 THEN untouched || ' image left exactly as they were.' END, CASE WHEN pages > 3 THEN 'Trimmed drawing coordinates to finer than any screen can show.' END, 'Text, links and slide order are untouched.') END,
-            CASE WHEN signed THEN 'Left out the Content Credentials, which sign the original’s exact bytes. The original keeps them.' END) END AS notes FROM x""")
+                CASE WHEN untouched > 0 THEN untouched || ' image left exactly as they were.' END, CASE WHEN pages > 3 THEN '{drivers.SAID['drawings']}' END, '{drivers.SAID['kept']}') END,
+            CASE WHEN signed THEN '{drivers.SAID['signed']}' END) END AS notes FROM x""")
 def p15_p16_outcome_and_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = base(spark, sf_dir, "SELECT o_orderkey AS deck_id, CAST(floor(o_totalprice * 100) AS BIGINT) AS size FROM {orders}")
     k = F.col("deck_id")
