@@ -250,3 +250,54 @@ def r5_r7_current_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = base(spark, sf_dir, JOBS)
     current = j.groupBy("user_id").agg((F.max("event_id") % 4).alias("version"))
     return progress.current_only(j, current, ["user_id"]).select("user_id", "event_id", F.round(progress.continued(F.col("w"), F.lit(0.4)), 6).alias("fraction"))
+
+
+@query("""WITH p AS (SELECT deck_id, ref AS page, CAST(100 + width % 500 AS DOUBLE) AS w, CAST(50 + height % 300 AS DOUBLE) AS h, ref % 3 = 0 AS lost FROM ({images}) i),
+    bad AS (SELECT deck_id, page AS ref FROM p WHERE deck_id % 5 = 0 AND page = 2 UNION SELECT a.deck_id, a.page FROM p a JOIN p b ON b.deck_id = a.deck_id AND b.lost AND b.page IN (a.page, a.page + 1)),
+    known AS (SELECT p.* FROM p WHERE NOT lost AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.deck_id = p.deck_id AND bad.ref = p.page)),
+    seen AS (SELECT k.* FROM known k WHERE NOT EXISTS (SELECT 1 FROM p h WHERE h.deck_id = k.deck_id AND h.page = k.page + 1 AND h.deck_id % 7 = 0 AND h.page % 2 = 0))
+    SELECT deck_id, page || ' 0 R' AS ref, page, w * CASE WHEN page % 2 = 0 THEN 2 ELSE 1 END AS width, h * CASE WHEN page % 2 = 0 THEN 2 ELSE 1 END AS height FROM seen
+    UNION ALL SELECT deck_id, (page + 50) || ' 0 R', page, w * CASE WHEN page % 2 = 0 THEN 2 ELSE 1 END, h * CASE WHEN page % 2 = 0 THEN 2 ELSE 1 END FROM seen WHERE page % 4 = 1""")
+def o4_found_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that draw their image, every second one through a form twice as large; pages that cannot be read, images that are also drawn unseen, pages whose drawing inherits its resources, and masks."""
+    i = base(spark, sf_dir, "SELECT deck_id, ref, CAST(100 + width % 500 AS STRING) AS w, CAST(50 + height % 300 AS STRING) AS h FROM ({images}) i")
+    n = F.col("ref")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    image, form = text(n, " 0 R"), text(n + 100, " 0 R")
+    names = F.create_map(F.lit("/I"), image, F.lit("/F"), form)
+    thing = lambda ref, kind, matrix, own, stream: F.struct(ref.alias("ref"), F.lit(kind).alias("subtype"), matrix.alias("matrix"), own.alias("names"), stream.alias("content"))
+    none = F.lit(None)
+    objects_ = F.array(
+        thing(form, "/Form", F.array(*map(F.lit, (2.0, 0.0, 0.0, 2.0, 0.0, 0.0))), none.cast("map<string,string>"), F.lit("/I Do").cast("binary")), thing(image, "/Image", none.cast("array<double>"), none.cast("map<string,string>"), none.cast("binary")),
+    )
+    stream = F.when(n % 3 > 0, text("q ", F.col("w"), " 0 0 ", F.col("h"), " 5 6 cm ", F.when(n % 2 == 0, "/F").otherwise("/I"), " Do Q").cast("binary"))
+    page = n.cast("int")
+    pages = i.select("deck_id", page.alias("page"), F.array(stream).alias("contents"), names.alias("names"), objects_.alias("objects"))
+    images = i.select("deck_id", image.alias("ref"), F.array(page, page + 1).alias("reach"))
+    hidden = i.where("deck_id % 5 = 0 AND ref = 2").select("deck_id", page.alias("page"), image.alias("ref"), F.lit("image").alias("kind")).unionByName(
+        i.where("deck_id % 7 = 0 AND ref % 2 = 0").select("deck_id", page.alias("page"), none.cast("string").alias("ref"), F.lit("inherits").alias("kind"))
+    )
+    masks = i.where("ref % 4 = 1").select("deck_id", text(n + 50, " 0 R").alias("ref"), image.alias("parent"))
+    return content.find_placements(pages, images, hidden, masks)
+
+
+@query("SELECT deck_id, count(*) AS pages, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({images}) i GROUP BY 1 HAVING count(*) >= 2")
+def h2_decks_to_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drivers.split_plan_of(base(spark, sf_dir, "SELECT deck_id, ref AS page, bytes FROM ({images}) i"))
+    return found.select("deck_id", F.size("sizes").cast("long").alias("pages"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes"))
+
+
+@query("""SELECT deck_id, count(*) FILTER (WHERE NOT (ref = 4 AND deck_id % 3 > 0)) AS objects, coalesce(bool_or(ref = 4 AND deck_id % 3 = 0), false) AS refused FROM ({images}) i GROUP BY 1 HAVING count(*) FILTER (WHERE NOT (ref = 4 AND deck_id % 3 > 0)) > 0""")
+def o20_without_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth object of a deck is its manifest; in every third deck it is not listed as one, and stays."""
+    o = base(spark, sf_dir, "SELECT deck_id, ref, CASE WHEN ref = 4 THEN 'manifest' ELSE 'image' END AS kind FROM ({images}) i")
+    left, refused = inventory.without_credentials(o, o.where("ref = 4 AND deck_id % 3 > 0").select("deck_id", "ref"))
+    return left.groupBy("deck_id").agg(F.count("*").alias("objects")).join(refused, "deck_id")
+
+
+@query("""SELECT deck_id, ref, CASE WHEN ceil(log10(px * 0.5::DOUBLE / 0.1::DOUBLE)) > 6 THEN NULL ELSE CAST(greatest(0, ceil(log10(px * 0.5::DOUBLE / 0.1::DOUBLE))) AS INT) END AS decimals, CASE WHEN ref % 2 = 0 THEN 2.45::DOUBLE ELSE 3.25::DOUBLE END AS distance, true AS halved
+    FROM (SELECT deck_id, ref, pow(10::DOUBLE, CAST(ref AS DOUBLE) - 2) * (1 + deck_id % 7) AS px FROM ({images}) i) x""")
+def f16_f21_decimals_and_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = base(spark, sf_dir, "SELECT deck_id, ref, pow(10D, CAST(ref AS DOUBLE) - 2) * (1 + deck_id % 7) AS px FROM ({images}) i")
+    settings = scalars.encoder_settings(F.lit(0.72), F.when(F.col("ref") % 2 == 1, 3.25))
+    return i.select("deck_id", "ref", scalars.path_decimals(F.col("px")).alias("decimals"), settings.alias("s")).select("deck_id", "ref", "decimals", "s.distance", (F.col("s.subsample420") & F.col("s.progressive")).alias("halved"))
