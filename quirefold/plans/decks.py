@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import containers, scalars
 from quirefold.operators import compressing, content, drivers, inventory, ladder, split
-from quirefold.plans.catalogue import BUDGETS, EVENTS, IMAGES, PAGES, PLACED, PREDICTED, TOTAL, base, inventory_of, plans_of, query, totals_of, versions_of
+from quirefold.plans.catalogue import BUDGETS, EVENTS, IMAGES, PAGES, PLACED, PREDICTED, SPLIT, TOTAL, USES, base, inventory_of, plans_of, query, totals_of, versions_of
 from quirefold.sources import objects
 from quirefold.streaming import progress
 
@@ -301,3 +301,18 @@ def f16_f21_decimals_and_settings(spark: SparkSession, sf_dir: str) -> DataFrame
     i = base(spark, sf_dir, "SELECT deck_id, ref, pow(10D, CAST(ref AS DOUBLE) - 2) * (1 + deck_id % 7) AS px FROM ({images}) i")
     settings = scalars.encoder_settings(F.lit(0.72), F.when(F.col("ref") % 2 == 1, 3.25))
     return i.select("deck_id", "ref", scalars.path_decimals(F.col("px")).alias("decimals"), settings.alias("s")).select("deck_id", "ref", "decimals", "s.distance", (F.col("s.subsample420") & F.col("s.progressive")).alias("halved"))
+
+
+#: Pages of a deck that share one dictionary, which names all of the deck's images; each draws its own, and of some it cannot be told.
+IN_USE = "SELECT a.deck_id, a.ref AS page, b.ref, b.bytes FROM ({images}) a JOIN ({images}) b ON b.deck_id = a.deck_id WHERE b.ref = a.ref OR a.ref % 5 = 0"
+
+
+@query(SPLIT.replace(USES, IN_USE) + " SELECT deck_id, page, bytes, shared FROM g JOIN s USING (deck_id)")
+def o19_split_plan_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = base(spark, sf_dir, "SELECT deck_id, ref AS page, bytes FROM ({images}) i")
+    name = lambda c: F.concat(F.lit("/I"), c.cast("string"))
+    entries = i.select("deck_id", "page").join(i.select("deck_id", name(F.col("page")).alias("name"), F.col("page").alias("ref"), "bytes"), "deck_id")
+    streams = F.array(F.lit("q 1 0 0 1 0 0 cm").cast("binary"), F.when(F.col("page") % 5 > 0, F.concat(F.lit("("), name(F.col("page") + 1), F.lit(" Do) Tj "), name(F.col("page")), F.lit(" Do Q")).cast("binary")))
+    uses = content.named_in_use(i.select("deck_id", "page", streams.alias("contents")), entries)
+    shared, pages = split.split_plan(uses.select("deck_id", "page", "ref", "bytes"), uses.select("deck_id", "page"))
+    return pages.join(shared, "deck_id").select("deck_id", "page", "bytes", "shared")
