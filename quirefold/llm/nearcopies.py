@@ -3,7 +3,8 @@
 Candidates come from two searches. Fingerprints of the runs within three bits are found by the general pigeonhole of ``simhash``; three of 64 bits
 reach similarities of some 0.95. For those from 0.8 on each text also leaves the least of its runs under many hash functions, taken seven at a time;
 texts that share all of one such band meet in a group. One byte of each least run estimates the similarity within a group: a flood joins those surely alike, and each other row names the two rows outside its own
-flood that it looks most like. So a group of n texts hands on 3n pairs at most. Every pair is then compared on the texts; none is linked unchecked.
+flood that it looks most like: 3n pairs at most of a group of n texts. Every pair is compared on the texts; none is linked unchecked. Then all pairs of a group that the links found leave in
+different components are compared too, but for those that the estimate puts five standard errors below the similarity.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SIMILARITY = 0.8
 BANDS, WIDTH = 24, 7
 #: Estimates (their standard error is 0.03) so far above or below the similarity join two texts in a flood, or rule them out.
 SURE, AT_LEAST = 0.06, 0.09
+#: Five standard errors below the similarity: such pairs are not compared, whatever else is.
+UNLIKE = 0.16
 #: Bits within which fingerprints are compared.
 BITS_APART = 3
 #: Rows of one group that one task takes; larger groups are cut into blocks that meet pairwise.
@@ -109,38 +112,53 @@ def group_pairs(sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     return pairs
 
 
-def banded_pairs(sketches: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (lead, node), lead < node, that some band's group brings together."""
+def apart_pairs(sketch: np.ndarray, component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """All pairs of rows of one group in different components that are not surely unlike."""
+    _, which = np.unique(component, return_inverse=True)
+    outside, pairs = which != np.bincount(which).argmax(), []
+    for x in np.flatnonzero(outside):
+        other = np.flatnonzero((which != which[x]) & (~outside | (np.arange(len(which)) > x)))
+        pairs += [(int(x), int(y)) for y in other[(sketch[other] == sketch[x]).mean(axis=1) >= similarity - UNLIKE]]
+    return pairs
+
+
+def banded(sketches: DataFrame) -> DataFrame:
+    """key, node, n of the groups of n > 1 rows that share a band."""
     rows = sketches.select(F.explode("keys").alias("key"), "node")
-    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(rows.join(groups, "key"), "groups")
-    met = met.join(sketches.select("node", "sketch"), "node")
+    return materialise(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "groups")
+
+
+def banded_pairs(met: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (lead, node), lead < node, that some band's group brings together; where ``met`` has components, all pairs of different ones."""
+    apart = "component" in met.columns
+    met = met.join(sketches.select("node", "sketch"), "node").withColumn("component", F.col("component") if apart else F.lit(0).cast("long"))
     # Blocks of a large group meet pairwise; a row goes to one tile for each block there is.
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     tile = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(k, own) * blocks + F.greatest(k, own))
-    dealt = met.select("key", F.explode(tile).alias("tile"), "node", "sketch").repartition(shuffle_width(sketches.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "node")
+    dealt = met.select("key", F.explode(tile).alias("tile"), "node", "sketch", "component").repartition(shuffle_width(sketches.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, tiles, nodes, sketch in groups_of(batches):
+        for keys, tiles, nodes, sketch, component in groups_of(batches):
             start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
             out: list[tuple[int, int]] = []
             for s, e in zip(start, np.r_[start[1:], len(keys)], strict=True):
-                out += [(nodes[s + x], nodes[s + y]) for x, y in group_pairs(sketch[s:e], similarity)]
+                found = apart_pairs(sketch[s:e], component[s:e], similarity) if apart else group_pairs(sketch[s:e], similarity)
+                out += [(nodes[s + x], nodes[s + y]) for x, y in found]
             a, b = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["lead", "node"])
 
     return dealt.mapInArrow(releasing(run), "lead long, node long")
 
 
-def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches sorted by key and tile, recut so that none splits a group: keys, tiles, nodes, sketches."""
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches sorted by key and tile, recut so that none splits a group: keys, tiles, nodes, sketches, components."""
     held: list[pa.RecordBatch] = []
 
     def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
         t = pa.Table.from_batches(parts)
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        return t["key"].to_numpy(), t["tile"].to_numpy(), t["node"].to_numpy(), sketch
+        return t["key"].to_numpy(), t["tile"].to_numpy(), t["node"].to_numpy(), sketch, t["component"].to_numpy()
 
     for b in batches:
         if not b.num_rows:
@@ -193,10 +211,21 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def near_links(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Links (lead, node) that connect the rows of ``node``, ``text`` (nodes distinct) that are alike."""
     sketches = materialise(sketched(texts), "sketches")
-    pairs = banded_pairs(sketches, similarity, block).unionByName(fingerprint_pairs(sketches)).where("lead <> node").distinct()
-    pairs = materialise(pairs, "pairs")
-    some = texts.join(pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), "node", "left_semi")
-    return compared(pairs, some, similarity)
+    met = banded(sketches)
+    pairs = banded_pairs(met, sketches, similarity, block).unionByName(fingerprint_pairs(sketches)).where("lead <> node").distinct()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        some = texts.join(pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), "node", "left_semi")
+        return compared(pairs, some, similarity)
+
+    links = materialise(alike(pairs), "links")
+    # What those leave apart within a group is compared pair by pair, so no link between components is lost.
+    met = met.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = materialise(met, "components")
+    torn = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    rest = banded_pairs(met.join(torn, "key"), sketches, similarity, block).where("lead <> node").distinct()
+    return links.unionByName(alike(rest))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -61,3 +61,25 @@ def test_groups_of_unlike_copies_are_connected_like_by_brute_force(spark):
         found = {r["node"]: r["component"] for r in connected_components(near_links(df, block=block)).collect()}
         wrong = [i for i in range(len(texts)) if found.get(i, i) != top(i)]
         assert len(wrong) <= 2, wrong
+
+
+def test_a_copy_less_alike_than_many_others_seem_is_linked(spark):
+    from quirefold.llm.common import connected_components
+    from quirefold.llm.nearcopies import near_links
+
+    rng, texts = random.Random(9), []
+
+    def changed(text, ends):
+        q = list(text)
+        for at in (rng.randint(10, 45), rng.randint(52, 88)):
+            q[at] = prose(rng, 1)[0]
+        return [*q[:-1], prose(rng, 1)[0]] if ends else q
+
+    for _ in range(6):  # two texts alike, each with many others that are not quite
+        x = prose(rng, 100)
+        z = changed(x, False)
+        texts += [x, z, *(changed(t, True) for t in (x, z) for _ in range(100))]
+    assert all(len(runs(texts[i]) & runs(texts[i + 1])) >= 0.8 * len(runs(texts[i]) | runs(texts[i + 1])) for i in range(0, len(texts), 202))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
+    found = {r["node"]: r["component"] for r in connected_components(near_links(df)).collect()}
+    assert [i for i in range(0, len(texts), 202) if i not in found or found[i] != found.get(i + 1)] == []
