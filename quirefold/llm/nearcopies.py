@@ -4,7 +4,7 @@ Candidates come from two searches. Fingerprints of the runs within three bits ar
 reach similarities of some 0.95. For those from 0.8 on each text also leaves the least of its runs under many hash functions, taken seven at a time;
 texts that share all of one such band meet in a group. One byte of each least run estimates the similarity within a group: a flood joins those surely alike, and each other row names the two rows outside its own
 flood that it looks most like: 3n pairs at most of a group of n texts. Every pair is compared on the texts; none is linked unchecked. Then all pairs of a group that the links found leave in
-different components are compared too, but for those that the estimate puts five standard errors below the similarity.
+different components are compared too, within tasks that hold the runs of two blocks of a group: only links come out, one for each two components that it joins.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import simhash
@@ -25,12 +25,12 @@ SIMILARITY = 0.8
 BANDS, WIDTH = 24, 7
 #: Estimates (their standard error is 0.03) so far above or below the similarity join two texts in a flood, or rule them out.
 SURE, AT_LEAST = 0.06, 0.09
-#: Five standard errors below the similarity: such pairs are not compared, whatever else is.
-UNLIKE = 0.16
 #: Bits within which fingerprints are compared.
 BITS_APART = 3
 #: Rows of one group that one task takes; larger groups are cut into blocks that meet pairwise.
 BLOCK = 1 << 13
+#: Bytes of runs of one group that a block holds at most, unless one text has more.
+BLOCK_BYTES = 1 << 24
 
 
 def run_hashes(text: bytes | None, words: WordHashes) -> np.ndarray:
@@ -112,14 +112,38 @@ def group_pairs(sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     return pairs
 
 
-def apart_pairs(sketch: np.ndarray, component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """All pairs of rows of one group in different components that are not surely unlike."""
-    _, which = np.unique(component, return_inverse=True)
-    outside, pairs = which != np.bincount(which).argmax(), []
-    for x in np.flatnonzero(outside):
-        other = np.flatnonzero((which != which[x]) & (~outside | (np.arange(len(which)) > x)))
-        pairs += [(int(x), int(y)) for y in other[(sketch[other] == sketch[x]).mean(axis=1) >= similarity - UNLIKE]]
-    return pairs
+def torn_links(runs: list[np.ndarray], component: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (rows) that connect what the similarity connects of different components; all pairs are compared, or those across where rows are of two sides."""
+    names, which = np.unique(component, return_inverse=True)
+    across, size = side.min() != side.max(), np.array([len(r) for r in runs])
+    row = np.repeat(np.arange(len(runs)), size)
+    flat = np.concatenate(runs)
+    order = np.argsort(flat, kind="stable")
+    flat, row, out = flat[order], row[order], []
+    for x in np.flatnonzero(which != np.bincount(which).argmax()):
+        lo, hi = np.searchsorted(flat, runs[x]), np.searchsorted(flat, runs[x], side="right")
+        n, both = hi - lo, np.zeros(len(runs), dtype=np.int64)
+        for s, e in spans_of(n):  # rows that have each of the runs
+            at = np.repeat(lo[s:e] - np.cumsum(n[s:e]) + n[s:e], n[s:e]) + np.arange(n[s:e].sum())
+            both += np.bincount(row[at], minlength=len(runs))
+        alike = (both >= similarity * (size + size[x] - both)) & (which != which[x])
+        if across:
+            alike &= side != side[x]
+        hit = np.flatnonzero(alike)
+        joined, first = np.unique(which[hit], return_index=True)
+        if len(joined):
+            out += [(int(x), int(y)) for y in hit[first]]
+            which[np.isin(which, joined)] = which[x]
+            if len(out) == len(names) - 1:
+                break
+    return out
+
+
+def spans_of(counts: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Spans of the counts, each of a sum of about ``most`` at most or of one count."""
+    part = np.cumsum(counts) // most
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, dtype=np.int64)
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
 
 
 def banded(sketches: DataFrame) -> DataFrame:
@@ -128,37 +152,68 @@ def banded(sketches: DataFrame) -> DataFrame:
     return materialise(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "groups")
 
 
-def banded_pairs(met: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (lead, node), lead < node, that some band's group brings together; where ``met`` has components, all pairs of different ones."""
-    apart = "component" in met.columns
-    met = met.join(sketches.select("node", "sketch"), "node").withColumn("component", F.col("component") if apart else F.lit(0).cast("long"))
-    # Blocks of a large group meet pairwise; a row goes to one tile for each block there is.
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+def dealt(met: DataFrame, blocks: Column, columns: list[str]) -> DataFrame:
+    """key, tile, side (a row's block), node and the columns, by key and tile: blocks of a large group meet pairwise, so a row goes to one tile for each block there is."""
     own = F.pmod(F.xxhash64("node"), blocks)
     tile = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(k, own) * blocks + F.greatest(k, own))
-    dealt = met.select("key", F.explode(tile).alias("tile"), "node", "sketch", "component").repartition(shuffle_width(sketches.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "node")
+    rows = met.select("key", F.explode(tile).alias("tile"), own.alias("side"), "node", *columns)
+    return rows.repartition(shuffle_width(met.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "node")
+
+
+def banded_pairs(met: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (lead, node), lead < node, that some band's group brings together."""
+    met = met.join(sketches.select("node", "sketch"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start, end in groups_of(batches):
+            nodes, out = t["node"].to_numpy(), []
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+            for s, e in zip(start, end, strict=True):
+                out += [(nodes[s + x], nodes[s + y]) for x, y in group_pairs(sketch[s:e], similarity)]
+            yield node_pairs(out)
+
+    return dealt(met, F.ceil(F.col("n") / F.lit(block)).cast("long"), ["sketch"]).mapInArrow(releasing(run), "lead long, node long")
+
+
+def banded_links(met: DataFrame, texts: DataFrame, similarity: float, block: int, block_bytes: int) -> DataFrame:
+    """Links (lead, node), lead < node, that connect what is alike within groups of rows (key, node, component) in different components."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([run_hashes(t, words).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["node", "runs"])
+
+    some = texts.join(met.select("node").distinct(), "node", "left_semi")
+    runs = materialise(some.select("node", "text").mapInArrow(releasing(hashed), "node long, runs binary"), "runs")
+    met = met.select("key", "node", "component").join(runs.select("node", F.octet_length("runs").alias("size")), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(block_bytes), F.lit(1.0))).cast("long")
+    met = met.join(met.groupBy("key").agg(blocks.alias("blocks")), "key").join(runs, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, tiles, nodes, sketch, component in groups_of(batches):
-            start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
-            out: list[tuple[int, int]] = []
-            for s, e in zip(start, np.r_[start[1:], len(keys)], strict=True):
-                found = apart_pairs(sketch[s:e], component[s:e], similarity) if apart else group_pairs(sketch[s:e], similarity)
-                out += [(nodes[s + x], nodes[s + y]) for x, y in found]
-            a, b = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["lead", "node"])
+        for t, start, end in groups_of(batches):
+            nodes, component, side, out = t["node"].to_numpy(), t["component"].to_numpy(), t["side"].to_numpy(), []
+            for s, e in zip(start, end, strict=True):
+                own = [np.frombuffer(x, dtype=np.uint64) for x in t["runs"].slice(s, e - s).to_pylist()]
+                out += [(nodes[s + x], nodes[s + y]) for x, y in torn_links(own, component[s:e], side[s:e], similarity)]
+            yield node_pairs(out)
 
-    return dealt.mapInArrow(releasing(run), "lead long, node long")
+    return dealt(met, F.col("blocks"), ["component", "runs"]).mapInArrow(releasing(run), "lead long, node long").distinct()
 
 
-def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches sorted by key and tile, recut so that none splits a group: keys, tiles, nodes, sketches, components."""
+def node_pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["lead", "node"])
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Batches sorted by key and tile, recut so that none splits a group, with the groups' starts and ends."""
     held: list[pa.RecordBatch] = []
 
-    def arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    def grouped(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(parts)
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        return t["key"].to_numpy(), t["tile"].to_numpy(), t["node"].to_numpy(), sketch, t["component"].to_numpy()
+        keys, tiles = t["key"].to_numpy(), t["tile"].to_numpy()
+        start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])])
+        return t, start, np.r_[start[1:], len(keys)]
 
     for b in batches:
         if not b.num_rows:
@@ -166,13 +221,13 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         key, tile = b.column("key").to_numpy(), b.column("tile").to_numpy()
         last = int(np.argmax((key == key[-1]) & (tile == tile[-1])))
         if held and (last or held[-1].column("key")[0] != b.column("key")[0] or held[-1].column("tile")[0] != b.column("tile")[0]):
-            yield arrays([*held, b.slice(0, last)] if last else held)
+            yield grouped([*held, b.slice(0, last)] if last else held)
             held = []
         elif last:
-            yield arrays([b.slice(0, last)])
+            yield grouped([b.slice(0, last)])
         held.append(b.slice(last))
     if held:
-        yield arrays(held)
+        yield grouped(held)
 
 
 def fingerprint_pairs(sketches: DataFrame) -> DataFrame:
@@ -208,24 +263,19 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return sided.mapInArrow(releasing(run), "lead long, node long")
 
 
-def near_links(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def near_links(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (lead, node) that connect the rows of ``node``, ``text`` (nodes distinct) that are alike."""
     sketches = materialise(sketched(texts), "sketches")
     met = banded(sketches)
     pairs = banded_pairs(met, sketches, similarity, block).unionByName(fingerprint_pairs(sketches)).where("lead <> node").distinct()
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
-        some = texts.join(pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), "node", "left_semi")
-        return compared(pairs, some, similarity)
-
-    links = materialise(alike(pairs), "links")
+    pairs = materialise(pairs, "pairs")
+    some = texts.join(pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), "node", "left_semi")
+    links = materialise(compared(pairs, some, similarity), "links")
     # What those leave apart within a group is compared pair by pair, so no link between components is lost.
     met = met.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     met = materialise(met, "components")
     torn = met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = banded_pairs(met.join(torn, "key"), sketches, similarity, block).where("lead <> node").distinct()
-    return links.unionByName(alike(rest))
+    return links.unionByName(banded_links(met.join(torn, "key"), texts, similarity, block, block_bytes))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -83,3 +83,34 @@ def test_a_copy_less_alike_than_many_others_seem_is_linked(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
     found = {r["node"]: r["component"] for r in connected_components(near_links(df)).collect()}
     assert [i for i in range(0, len(texts), 202) if i not in found or found[i] != found.get(i + 1)] == []
+
+
+def test_unlike_texts_of_one_group_are_compared_without_a_row_for_each_pair(spark, monkeypatch):
+    from quirefold.llm import nearcopies
+    from quirefold.llm.common import connected_components
+
+    rng, texts, counts = random.Random(12), [], []
+    base = prose(rng, 150)
+    for i in range(300):  # with three far changes a text is 0.68 like any other, and 0.8 like the one before it in the pairs
+        q = list(texts[-1] if i % 10 == 9 else base)
+        for at in (rng.randint(140, 149),) if i % 10 == 9 else (rng.randint(10, 30), rng.randint(60, 80), rng.randint(110, 130)):
+            q[at] = prose(rng, 1)[0]
+        texts.append(q)
+    own = [runs(t) for t in texts]
+    alike = [(i, j) for i in range(300) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])]
+    keep = nearcopies.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        counts.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(nearcopies, "materialise", counted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
+    wanted = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(alike, "a long, b long")).collect()}
+    for block_bytes in (1 << 24, 1 << 15):
+        links = nearcopies.near_links(df, block_bytes=block_bytes)
+        found = {r["node"]: r["component"] for r in connected_components(links).collect()}
+        assert found == wanted and len(wanted) >= 60
+        assert max(counts) <= (24 * 300, "groups") and links.count() <= 600
+        assert max(n for n, name in counts if name == "pairs") <= 10 * 300, counts
